@@ -7,8 +7,8 @@ direction that keeps both expectations, until one of them is integral.  The sum
 of words is kept exactly by every meeting, so a source misses its target by less
 than one document.
 
-The documents are dealt to ``LEAVES`` leaves; in each a stream keeps one pending
-document per source.  Documents meet in order of falling size, so that what stays
+A source's documents are dealt to leaves of about ``LEAF`` documents; in each a
+stream keeps one pending document.  Documents meet in order of falling size, so that what stays
 pending is short.  It climbs a reduction tree of fan-in ``FAN``; the root decides
 its last document by chance alone.
 """
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 WEIGHTS = (5, 2, 1)
 #: No target and no document exceeds this many times its size.
 MOST = 3
-#: Leaves of the reduction tree and its fan-in.
-LEAVES, FAN = 256, 16
+#: Documents of one source in a leaf of the reduction tree, about, and the fan-in above the leaves.
+LEAF, FAN = 4096, 16
 SEED = 20240229
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -122,7 +122,7 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
 
 
-def mix(docs: DataFrame, seed: int = SEED, leaves: int = LEAVES, fan: int = FAN) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """One row per row of ``docs(doc_id, text, source, ...)``: ``doc_id, source, size, source_size, target, copies, taken``.
 
     Null texts have size 0 and are never taken; a null source is a source of its
@@ -133,17 +133,19 @@ def mix(docs: DataFrame, seed: int = SEED, leaves: int = LEAVES, fan: int = FAN)
     from .session import written
 
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")), "sizes")
-    per = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    per = per.withColumnRenamed("source", "_source")
+    sums = written(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / leaf).alias("leaves")), "sources")
+    of = sums.select(F.col("source").alias("_s"), "leaves")
+    per = targets(sums.select("source", "source_size")).join(of, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    per = written(per.withColumnRenamed("source", "_source"), "targets")
     each = rows.join(per, F.col("source").eqNullSafe(F.col("_source")))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.least(F.floor(share + _EDGE), F.lit(MOST))
-    node = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(leaves)).cast("int")
+    node = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("leaves")).cast("int")
     pending = each.select(
         "doc_id", "source", "size", "source_size", "target", whole.cast("long").alias("whole"),
         F.greatest(share - whole, F.lit(0.0)).alias("p"), node.alias("node"), F.lit(True).alias("pending"),
     )
-    done, level, width = None, 0, leaves
+    done, level, width = None, 0, sums.agg(F.max("leaves").alias("n")).first()["n"] or 1
     while True:
         dealt = pending.repartition("source", "node").sortWithinPartitions("source", "node", F.desc("size"), F.xxhash64("doc_id", F.lit(seed + level)), "doc_id")
         out = written(dealt.mapInArrow(_round(level, seed), _FIELDS), "rounded")
@@ -153,7 +155,7 @@ def mix(docs: DataFrame, seed: int = SEED, leaves: int = LEAVES, fan: int = FAN)
         if width == 1:
             break
         width = -(-width // fan)
-        pending = pending.withColumn("node", F.pmod(F.col("node"), F.lit(width)).cast("int"))
+        pending = pending.withColumn("node", F.floor(F.col("node") / fan).cast("int"))
         level += 1
     u = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed), F.lit("root")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     last = pending.withColumn("p", F.when(u < F.col("p"), F.lit(1.0)).otherwise(F.lit(0.0)))
