@@ -39,8 +39,14 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_warc_zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warczip import archive_round_trip
+
+    return archive_round_trip(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op5_source_mixing, op8_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op5_source_mixing, op8_ngram_jaccard_join, op10_warc_zip_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
