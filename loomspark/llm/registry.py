@@ -39,6 +39,13 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op10_warc_zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warczip import archive_round_trip
 
@@ -46,7 +53,7 @@ def op10_warc_zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op5_source_mixing, op8_ngram_jaccard_join, op10_warc_zip_round_trip)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op5_source_mixing, op8_ngram_jaccard_join, op9_toxicity_grammar, op10_warc_zip_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
