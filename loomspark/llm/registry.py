@@ -33,6 +33,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract_text
+
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chosen_path import near_duplicates
 
@@ -53,7 +59,7 @@ def op10_warc_zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op5_source_mixing, op8_ngram_jaccard_join, op9_toxicity_grammar, op10_warc_zip_round_trip)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op5_source_mixing, op6_html_extraction, op8_ngram_jaccard_join, op9_toxicity_grammar, op10_warc_zip_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
