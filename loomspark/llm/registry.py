@@ -27,6 +27,12 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(chat_format(with_probe(read_table(spark, sf_dir, "conversations"))))
 
 
+def op3_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -59,7 +65,7 @@ def op10_warc_zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op5_source_mixing, op6_html_extraction, op8_ngram_jaccard_join, op9_toxicity_grammar, op10_warc_zip_round_trip)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op3_pii_boosted_candidates, op5_source_mixing, op6_html_extraction, op8_ngram_jaccard_join, op9_toxicity_grammar, op10_warc_zip_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
