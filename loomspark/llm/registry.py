@@ -45,6 +45,13 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages"))
 
 
+def op7_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linecrf import quality, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    return quality(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chosen_path import near_duplicates
 
@@ -65,7 +72,7 @@ def op10_warc_zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op3_pii_boosted_candidates, op5_source_mixing, op6_html_extraction, op8_ngram_jaccard_join, op9_toxicity_grammar, op10_warc_zip_round_trip)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op3_pii_boosted_candidates, op5_source_mixing, op6_html_extraction, op7_line_crf_quality, op8_ngram_jaccard_join, op9_toxicity_grammar, op10_warc_zip_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
