@@ -303,9 +303,7 @@ def decontaminate(
     in all documents.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-int(total) // block_chars))
+    items, n_blocks = _items(benchmark, block_chars)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(block: list[tuple[object, str | None]]) -> DataFrame:
@@ -335,6 +333,31 @@ def decontaminate(
     return _merged(docs, items, n_blocks, run)
 
 
+def _items(benchmark: DataFrame, block_chars: int) -> tuple[DataFrame, int]:
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    total = items.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("n")).first()["n"] or 0
+    return items, max(1, -(-int(total) // block_chars))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark window, all columns as they are, without a shuffle."""
+    spark, text = docs.sparkSession, docs.columns.index("text")
+    items, n_blocks = _items(benchmark, block_chars)
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    for k in range(n_blocks):
+        held = spark.sparkContext.broadcast(phrases([(r["item_id"], r["text"]) for r in items.filter(part == k).collect()], window))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts, keep = bytes_of(b.column(text)), []
+                for lo, hi in _shards(texts, shard_bytes):
+                    keep += [not s for s in search_shard(texts[lo:hi], held.value).spans]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def _merged(docs: DataFrame, items: DataFrame, n_blocks: int, run) -> DataFrame:
     """The blocks' results joined: spans united, items united."""
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))

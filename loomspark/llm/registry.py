@@ -33,6 +33,12 @@ def op3_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_table(spark, sf_dir, "documents"))
 
 
+def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    return dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -72,7 +78,7 @@ def op10_warc_zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op3_pii_boosted_candidates, op5_source_mixing, op6_html_extraction, op7_line_crf_quality, op8_ngram_jaccard_join, op9_toxicity_grammar, op10_warc_zip_round_trip)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op3_pii_boosted_candidates, op4_fuzzy_line_dedup, op5_source_mixing, op6_html_extraction, op7_line_crf_quality, op8_ngram_jaccard_join, op9_toxicity_grammar, op10_warc_zip_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:

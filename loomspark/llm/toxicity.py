@@ -13,7 +13,6 @@ stand in where there are no labels.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +27,7 @@ from .textvec import _POWERS, _table, bytes_of, glued, mix, word_bounds
 #: Bound of the training sample: so many documents of either label, in order of a hash of the id.
 TRAIN_PER_LABEL = 4000
 #: Patterns in the lexicon, at most, and labelled documents that one must be seen in.
-LEXICON, SUPPORT = 2000, 3
+LEXICON, SUPPORT = 1000, 3
 #: How often every toxic training document should be covered before further patterns stop paying.
 COVER = 3
 #: Score from which a document counts as toxic (fixed by the contract).
@@ -208,42 +207,42 @@ class Model:
 # ------------------------------------------------------------------------- learning
 
 
-def _beginnings(word: bytes) -> Iterator[bytes]:
-    text = word.decode("utf-8", "ignore")
-    for n in range(4, min(8, len(text))):
-        yield text[:n].encode()
+def _patterns() -> F.Column:
+    """A document's distinct words (``w`` before them) and beginnings of four to seven letters (``b``)."""
+    folded = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.array_distinct(F.regexp_extract_all(folded, F.lit(r"([a-z\x{80}-\x{10FFFF}]+)"), F.lit(1)))
+
+    def begins(n: int) -> F.Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.lit("b"), F.substring(w, 1, n)))
+
+    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("w"), w)), *(begins(n) for n in range(4, 8))))
 
 
-def learn_lexicon(documents: list[tuple[list[bytes], int]]) -> tuple[list[bytes], list[bytes]]:
-    """Insult words and beginnings from ``(distinct words, toxic)`` of the training documents.
+def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> tuple[list[bytes], list[bytes]]:
+    """Insult words and beginnings from the training sample ``(doc_id, text, toxic)``.
 
-    A pattern must occur in toxic documents (nearly) only.  Patterns are taken
-    greedily while they still cover toxic documents that are covered less than
-    ``COVER`` times, which passes over words that merely ride along in copies.
+    A pattern must occur in toxic documents (nearly) only; of those the ``size``
+    most frequent come to the driver.  There, patterns are taken greedily while
+    they still cover toxic documents that are covered less than ``COVER`` times,
+    which passes over words that merely ride along in copies.
     """
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    total = Counter(t for _, t in documents)
-    for words, toxic in documents:
-        patterns = {(0, w) for w in words} | {(1, b) for w in words for b in _beginnings(w)}
-        seen[toxic].update(patterns)
-    rate = total[0] / max(1, total[1])
-    good = [p for p, n in seen[1].items() if n >= SUPPORT and seen[0][p] <= 0.02 * n * rate]
-    # of patterns with equal evidence the longest beginning says the most
-    good.sort(key=lambda p: (-seen[1][p], p[0], -len(p[1]), p[1]))
-    good = good[:LEXICON]
-    index: dict[tuple[int, bytes], list[int]] = {p: [] for p in good}
-    toxic_docs = [words for words, t in documents if t]
-    for d, words in enumerate(toxic_docs):
-        for p in {(0, w) for w in words} | {(1, b) for w in words for b in _beginnings(w)}:
-            if p in index:
-                index[p].append(d)
-    covered = np.zeros(len(toxic_docs), dtype=np.int64)
+    each = sample.select("doc_id", "toxic", F.explode(_patterns()).alias("p"))
+    total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rate = total.get(0, 0) / max(1, total.get(1, 0))
+    counts = each.groupBy("p").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    good = counts.filter((F.col("pos") >= SUPPORT) & (F.col("neg") <= 0.02 * rate * F.col("pos"))).orderBy(F.desc("pos"), F.desc("p")).limit(size)
+    good = [r["p"] for r in good.collect()]
+    if not good:
+        return [], []
+    held = F.broadcast(sample.sparkSession.createDataFrame([(k, p) for k, p in enumerate(good)], "k int, p string"))
+    index = {r["k"]: r["docs"] for r in each.filter("toxic = 1").join(held, "p").groupBy("k").agg(F.collect_list("doc_id").alias("docs")).collect()}
+    covered: Counter = Counter()
     words, begins = [], []
-    for p in good:
-        docs = np.array(index[p])
-        if int((covered[docs] < COVER).sum()) >= max(SUPPORT, len(docs) // 20):
-            covered[docs] += 1
-            (begins if p[0] else words).append(p[1])
+    for k, p in enumerate(good):
+        docs = index.get(k, [])
+        if sum(covered[d] < COVER for d in docs) >= max(SUPPORT, len(docs) // 20):
+            covered.update(docs)
+            (words if p[0] == "w" else begins).append(p[1:].encode("utf-8", "surrogatepass"))
     return words, begins
 
 
@@ -282,12 +281,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
     for t in (0, 1):
         part = clean.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         pick = part if pick is None else pick.unionByName(part)
-    folded = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id")
-    words = F.array_distinct(F.regexp_extract_all(folded, F.lit(r"([a-z\x{80}-\x{10FFFF}]+)"), F.lit(1)))
-    rows = [([w.encode("utf-8", "surrogatepass") for w in r["w"]], r["toxic"]) for r in text.select("toxic", words.alias("w")).orderBy("doc_id").collect()]
-    insults, beginnings = learn_lexicon(rows)
-    rows.clear()
+    insults, beginnings = learn_lexicon(text)
     lexicon = Lexicon([*(w.encode() for w in INSULTS.split()), *insults], beginnings)
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -322,3 +317,16 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     return source.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_events long")
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that ``toxicity`` does not predict as toxic, all columns as they are, without a shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = held.value.score(events_of(bytes_of(b.column(text)), held.value.lexicon))
+            yield b.filter(pa.array(score < DECIDE))
+
+    return docs.mapInArrow(run, docs.schema)
