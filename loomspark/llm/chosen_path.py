@@ -6,7 +6,7 @@ sampled token that two sets share with probability equal to their similarity.
 
 1. *Recursive splitting.*  In every run a node splits its sets on one sampled
    coordinate, with probability 1/4 on a second one (1/0.8 on average).  Nodes
-   of at most ``SMALL`` sets are leaves, as are those at ``DEPTH``.
+   of at most ``SMALL`` sets are leaves, as are dense ones and those at ``DEPTH``.
 2. *Leaves.*  Small leaves compare all sketches; larger ones compare with
    leaders.  What may be similar is connected, so groups of candidates come out.
 3. *Verification.*  Inside a group exact intersections are counted, in pairs of
@@ -134,6 +134,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ------------------------------------------------------------------------ splitting
 
 
+#: Coordinates whose lowest bits tell how alike the sets of a node are.
+_BITS = tuple(range(16))
+#: Mean agreement of those bits from which a node is dense: similarity s shows as (1 + s) / 2.
+DENSE = 0.86
+
+
 def _children(depth: int) -> F.Column:
     """Paths of the next level: the sampled coordinates of a node and the set's tokens there."""
     if depth == 0:
@@ -147,22 +153,32 @@ def _children(depth: int) -> F.Column:
 def leaves(classes: DataFrame, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """``(path, size, set_id, sketch)``: each set once per leaf that it shares with another set.
 
-    Only sizes of nodes are aggregated (with map-side sums); sets are joined to
-    the written sizes, which leaves a heavy node to Spark's splitting of skewed joins.
+    A node is a leaf if it is small, as deep as allowed, or dense: its sets are so
+    alike that splitting would only repeat them.  Only sizes and bit counts of
+    nodes are aggregated (with map-side sums); sets are joined to the written
+    sizes, which leaves a heavy node to Spark's splitting of skewed joins, and
+    take up their sketches again only where another set shares the node.
     """
-    nodes = classes.filter("n_set > 0").select("set_id", "sketch")
+    full = classes.filter("n_set > 0")
+    sketch = full.select("set_id", "sketch")
+    bits = F.shiftleft(F.lit(0), 0)
+    for k in _BITS:
+        bits = bits.bitwiseOR(F.shiftleft(F.get(F.col("sketch"), F.lit(k)).bitwiseAND(F.lit(1)), k))
+    nodes = full.select("set_id", bits.alias("bits"), F.explode(_children(0)).alias("path"))
     out = None
     for level in range(depth):
-        nodes = nodes.select("set_id", "sketch", F.explode(_children(level)).alias("path"))
-        sizes = written(nodes.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "nodes")
-        nodes = nodes.join(sizes, "path").select("path", "size", "set_id", "sketch")
-        last = level == depth - 1
-        if not last:
-            nodes = written(nodes, "split")
-        done = nodes if last else nodes.filter(F.col("size") <= small)
+        ones = [F.sum(F.shiftright("bits", k).bitwiseAND(F.lit(1))).alias(f"b{k}") for k in _BITS]
+        share = [(F.col(f"b{k}") * F.col(f"b{k}") + (F.col("size") - F.col(f"b{k}")) * (F.col("size") - F.col(f"b{k}"))) / (F.col("size") * F.col("size")) for k in _BITS]
+        sizes = nodes.groupBy("path").agg(F.count("*").alias("size"), *ones).filter("size > 1")
+        dense = sum(share[1:], share[0]) / F.lit(float(len(_BITS))) >= DENSE
+        stop = (F.col("size") <= small) | dense if level < depth - 1 else F.lit(True)
+        sizes = written(sizes.select("path", "size", stop.alias("stop")), "nodes")
+        nodes = written(nodes.hint("merge").join(sizes, "path").select("path", "size", "stop", "set_id", "bits"), "split")
+        done = nodes.filter("stop").select("path", "size", "set_id")
         out = done if out is None else out.unionByName(done)
-        nodes = nodes.filter(F.col("size") > small)
-    return out
+        if level < depth - 1:
+            nodes = nodes.filter("NOT stop").join(sketch, "set_id").select("set_id", "bits", F.explode(_children(level + 1)).alias("path"))
+    return out.hint("merge").join(sketch, "set_id").select("path", "size", "set_id", "sketch")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -396,7 +412,7 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold:
         "rep", "set_id", "copies", F.col("label").alias("grp"), "nb", F.pmod(F.xxhash64("set_id"), F.col("nb")).cast("int").alias("block")
     )
     member = written(member, "members")
-    text = member.join(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep")
+    text = member.hint("merge").join(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep")
     pairs = text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     pairs = pairs.select("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "set_id", "block", "copies", "text")
     return pairs.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "set_id").mapInArrow(_verify(threshold), "set_id binary, links long, other binary")
