@@ -1,21 +1,663 @@
-"""The engine's registered queries."""
+"""The engine's registered queries and the DuckDB statements that check them.
+
+Tables stand in for the engine's own: pages for responses, orders for the queue
+(priority from ``o_orderpriority``, sequence ``o_orderkey``), returned lineitems
+for failed workers, lineitems for completions, customers for runs, events for
+arrivals.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import conditions, cron, healing, jsonpath, media, urls, values
+from ..operators import extract, frontier, stateful, validate
+from ..sources import readers, sinks
+from .config import Config
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("count(*) AS n_pages")
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ----------------------------------------------------------------- extraction
+
+PAGES_YAML = """
+spider: {name: pages, topic: web}
+graph:
+  nodes:
+    page:
+      fields:
+        title: {required: false, extractors: [{kind: css, expr: "h2.none::text"}, {kind: css, expr: "article h1::text"}]}
+        lang: {extractors: [{kind: css, expr: "html::attr(lang)"}]}
+        links: {default: [], extractors: [{kind: css, expr: "nav a::attr(href)"}]}
+        marks: {default: [], extractors: [{kind: regex, expr: "track[(]([0-9]+)[)]"}]}
+      binds:
+        key: {kind: pipeline, from: $fields.title, transforms: [{kind: trim}, {kind: normalize_space}, {kind: lowercase}]}
+        label: {kind: template, template: "{lang}-{n}", vars: {n: {from: $response.status}}}
+  edges:
+    - from: page
+      kind: request
+      when: {all: [{from: $fields.links, op: present}, {from: $fields.lang, op: ne, value: fr}]}
+      request: {node: page, url: {from: $fields.links}, priority: 3, vals: {origin: {from: $response.url}}}
+    - from: page
+      kind: item
+      vals: {url: {from: $response.url}}
+item:
+  schema:
+    fields:
+      title: {type: string, rules: [required, {min: 1}]}
+      key: {type: string}
+      lang: {type: string, rules: [required]}
+      label: {type: string}
+      url: {type: string, rules: [url]}
+"""
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as responses of one run; nothing but what a node reads is carried."""
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("string").alias("request_id"), F.lit("task").alias("task_id"), F.lit("trace").alias("trace_id"), F.lit("page").alias("node"),
+        "url", F.lit(200).alias("status"), F.col("html").alias("body"), F.lit("{}").alias("vals"),
+    )
+
+
+def emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.run_all(responses(spark, sf_dir), Config.from_yaml(PAGES_YAML))
+
+
+_H1 = "replace(replace(regexp_extract(html, '<h1>([^<]*)', 1), '&quot;', '\"'), '&amp;', '&')"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid pages, canonical URL, first of each, links fanned out, counted by language; no Python in the plan."""
+    pages = table(spark, sf_dir, "pages").filter(urls.http_valid(F.col("url")))
+    rows = pages.select(
+        "page_id", F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"), urls.canonical_column(F.col("url"), ["utm_source"]).alias("norm_url"),
+        F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)).alias("link"),
+    )
+    first = stateful.first_by(rows, ["norm_url"], F.col("page_id"))
+    return extract.fan_out(first, "link").groupBy("lang").agg(F.count("*").alias("n_links"), F.max("idx").alias("most"))
+
+
+@query(
+    """WITH p AS (SELECT page_id, html, regexp_replace(url, '#.*$', '') AS u FROM pages),
+    q AS (SELECT page_id, html, regexp_replace(u, '\\?.*$', '') AS base,
+      list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND split_part(x, '=', 1) <> 'utm_source') AS kv FROM p),
+    r AS (SELECT page_id, html, base || CASE WHEN len(kv) = 0 THEN '' ELSE '?' || array_to_string(list_transform(list_sort(list_transform(kv, lambda x, i: {'k': split_part(x, '=', 1), 'i': i, 'x': x})), lambda s: s.x), '&') END AS n FROM q),
+    f AS (SELECT html FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY page_id) AS rn FROM r) WHERE rn = 1),
+    l AS (SELECT regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS links FROM f)
+    SELECT lang, CAST(sum(len(links)) AS BIGINT) AS n_links, CAST(max(len(links)) AS INTEGER) AS most FROM l WHERE len(links) > 0 GROUP BY lang"""
+)
+def link_counts_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
+
+
+@query(f"SELECT page_id, {_H1} AS title, lower(trim(regexp_replace({_H1}, '\\s+', ' ', 'g'))) AS title_key, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, "
+       "regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) || '-200' AS label FROM pages")
+def extract_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a rule file, from one fused pass per page."""
+    items = extract.emitted_items(emitted(spark, sf_dir))
+    data = F.from_json("data", "title string, key string, lang string, label string")
+    one = items.select(F.col("request_id").cast("long").alias("page_id"), data.alias("d"))
+    return one.select("page_id", F.col("d.title").alias("title"), F.col("d.key").alias("title_key"), F.col("d.lang").alias("lang"), F.col("d.label").alias("label"))
+
+
+@query("""SELECT page_id, CAST(i AS INTEGER) AS idx, regexp_extract(url, '^(https?://[^/?#]*)', 1) || l AS link_ascii, url AS origin, 3 AS priority FROM
+    (SELECT page_id, url, html, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS links FROM pages WHERE regexp_extract(html, '<html lang="([^"]*)"', 1) <> 'fr'),
+    (SELECT unnest(generate_series(1, len(links))) AS i), (SELECT links[i] AS l) WHERE NOT regexp_matches(l, '[^\\x21-\\x7E]')""")
+def fanout_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request edges of a rule file (links in ASCII, which need no percent-encoding)."""
+    rows = extract.emitted_requests(emitted(spark, sf_dir))
+    ascii_ = rows.filter(~F.col("url").contains("%"))
+    return ascii_.select(
+        F.col("parent").cast("long").alias("page_id"), F.get_json_object("vals", "$.idx").cast("int").alias("idx"), F.col("url").alias("link_ascii"),
+        F.get_json_object("vals", "$.origin").alias("origin"), "priority",
+    )
+
+
+@query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+def extract_lang_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"))
+
+
+@query("SELECT page_id, CAST(i AS INTEGER) AS idx, l AS link FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS links FROM pages), (SELECT unnest(generate_series(1, len(links))) AS i), (SELECT links[i] AS l)")
+def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X3, X6, G2 without Python, for regular markup."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)).alias("link"))
+    return extract.fan_out(rows, "link")
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_extract(html, '<h2>([^<]*)', 1), ''), nullif(regexp_extract(html, '<title>([^<]*)', 1), ''), '-') AS title FROM pages")
+def extract_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fallback chain and default."""
+    first = values.first_non_empty(F.regexp_extract("html", "<h2>([^<]*)", 1), F.regexp_extract("html", "<title>([^<]*)", 1))
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(first, F.lit("-")).alias("title"))
+
+
+@query("SELECT page_id, CASE len(l) WHEN 0 THEN NULL WHEN 1 THEN '\"' || l[1] || '\"' ELSE '[' || array_to_string(list_transform(l, lambda x: '\"' || x || '\"'), ',') || ']' END AS marks FROM (SELECT page_id, regexp_extract_all(html, '<(nav|aside|footer)>', 1) AS l FROM pages)")
+def extract_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing, one value, or a list."""
+    found = F.regexp_extract_all("html", F.lit("<(nav|aside|footer)>"), F.lit(1))
+    shape = F.when(F.size("l") == 0, F.lit(None)).when(F.size("l") == 1, F.concat(F.lit('"'), F.get("l", F.lit(0)), F.lit('"'))).otherwise(F.to_json("l"))
+    return table(spark, sf_dir, "pages").select("page_id", found.alias("l")).select("page_id", shape.alias("marks"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '([A-Za-z]+)@[a-z0-9]+', 1)) AS INTEGER) AS n, array_to_string(regexp_extract_all(text, '([A-Za-z]+)@[a-z0-9]+', 1), ',') AS names FROM documents")
+def regex_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.regex_all(F.col("text"), "([A-Za-z]+)@[a-z0-9]+", 1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n"), F.array_join(found, ",").alias("names"))
+
+
+@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]{3,}'), ',') AS numbers FROM documents")
+def regex_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(extract.regex_all(F.col("text"), "[0-9]{3,}", 0), ",").alias("numbers"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_path_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", jsonpath.native(F.col("props"), "$.k").cast("long").alias("k"))
+
+
+@query("SELECT user_id, list_sum(list_filter(list(CAST(json_extract_string(props, '$.k') AS BIGINT)), lambda x: x > 5)) AS above FROM events GROUP BY user_id HAVING len(list_filter(list(CAST(json_extract_string(props, '$.k') AS BIGINT)), lambda x: x > 5)) > 0")
+def json_path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter expression through the evaluator, on one JSON document per user."""
+    @F.pandas_udf("array<long>")
+    def above(text: pd.Series) -> pd.Series:
+        import json
+
+        run = jsonpath.compile_path("$[?@.k > 5].k")
+        return text.map(lambda t: run(json.loads(t)))
+
+    docs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list("props"), ","), F.lit("]")).alias("doc"))
+    found = docs.select("user_id", above("doc").alias("ks")).filter(F.size("ks") > 0)
+    return found.select("user_id", F.aggregate("ks", F.lit(0).cast("long"), lambda a, x: a + x).alias("above"))
+
+
+# ---------------------------------------------------------------- expressions
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(text, '^[\\s\\x{0B}]+', ''), '[\\s\\x{0B}]+$', '') AS trimmed, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS spaced FROM documents")
+def bind_trim_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", values.trim(F.col("text")).alias("trimmed"), values.normalize_space(F.col("text")).alias("spaced"))
+
+
+@query("SELECT p_partkey, lower(p_name) AS low, upper(p_name) AS up FROM part")
+def bind_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", values.lowercase(F.col("p_name")).alias("low"), values.uppercase(F.col("p_name")).alias("up"))
+
+
+@query("SELECT o_orderkey, o_orderkey + 7 AS later, list_transform([o_custkey, o_orderkey], lambda x: x + 1)[2] AS lifted FROM orders")
+def bind_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked addition, lifted over arrays."""
+    lifted = values.lift(F.array("o_custkey", "o_orderkey"), lambda x: values.add(x, 1))
+    return table(spark, sf_dir, "orders").select("o_orderkey", values.add(F.col("o_orderkey"), 7).alias("later"), F.get(lifted, F.lit(1)).alias("lifted"))
+
+
+@query("SELECT n_nationkey, n_name || ' (' || CAST(n_regionkey AS VARCHAR) || ')' AS label FROM nation")
+def template_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = values.fill("{name} ({region})", {"name": F.col("n_name"), "region": F.col("n_regionkey")})
+    return table(spark, sf_dir, "nation").select("n_nationkey", label.alias("label"))
+
+
+@query("SELECT n_regionkey, array_to_string(list_transform(list_sort(list(n_name)), lambda x: CAST(n_regionkey AS VARCHAR) || ':' || x), '|') AS labels FROM nation GROUP BY n_regionkey")
+def template_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """arrays element-wise, scalars repeated."""
+    groups = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    filled = values.fill_arrays("{r}:{n}", {"r": F.col("n_regionkey"), "n": F.col("names")}, ["n"])
+    return groups.select("n_regionkey", F.array_join(filled, "|").alias("labels"))
+
+
+@query("SELECT event_id FROM events WHERE (event_type = 'click' AND value > 10) OR coalesce(user_id <> 3, false) AND value <= 2.5")
+def cond_all_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = conditions.any_of(
+        conditions.all_of(conditions.compare(F.col("event_type"), "eq", "click"), conditions.compare(F.col("value"), "gt", 10)),
+        conditions.all_of(conditions.compare(F.col("user_id"), "ne", 3), conditions.compare(F.col("value"), "lte", 2.5)),
+    )
+    return table(spark, sf_dir, "events").filter(c).select("event_id")
+
+
+@query("SELECT doc_id, coalesce(text <> '', false) AS has_text, NOT coalesce(lang <> '', false) AS no_lang FROM documents")
+def cond_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", conditions.present(F.col("text")).alias("has_text"), conditions.absent(F.col("lang")).alias("no_lang"))
+
+
+@query("SELECT o_orderkey, coalesce(s = 'F', false) AS is_f, coalesce(s <> 'F', false) AS not_f FROM (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders)")
+def cond_strict_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A missing side makes both eq and ne false."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("s"))
+    return rows.select("o_orderkey", conditions.compare(F.col("s"), "eq", "F").alias("is_f"), conditions.compare(F.col("s"), "ne", "F").alias("not_f"))
+
+
+@query("SELECT page_id, regexp_matches(url, '^https?://[^/?#]+') AS valid, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, "
+       "(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) = 'example.org' OR lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) LIKE '%.example.org') AS allowed FROM pages")
+def url_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F19, F20, P7, P8."""
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", urls.http_valid(u).alias("valid"), urls.host_of(u).alias("host"), urls.host_allowed(u, ["Example.org."]).alias("allowed"))
+
+
+@query("""SELECT page_id, base || CASE WHEN len(kv) = 0 THEN '' ELSE '?' || array_to_string(list_transform(list_sort(list_transform(kv, lambda x, i: {'k': split_part(x, '=', 1), 'i': i, 'x': x})), lambda s: s.x), '&') END AS canonical FROM
+    (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS base, list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda x: x <> '' AND split_part(x, '=', 1) <> 'utm_source') AS kv FROM pages)""")
+def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.canonical_column(F.col("url"), ["utm_source"]).alias("canonical"))
+
+
+# -------------------------------------------------------------------- dataflow
+
+
+@query("""SELECT conv_id, CAST(i AS INTEGER) AS idx, r AS role, CAST(length(t) AS INTEGER) AS n_chars FROM
+    (SELECT conv_id, list(role ORDER BY turn) AS rs, list(text ORDER BY turn) AS ts FROM conversations GROUP BY conv_id), (SELECT unnest(generate_series(1, len(rs))) AS i), (SELECT rs[i] AS r, ts[i] AS t)""")
+def fanout_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of one length fanned out together."""
+    both = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    groups = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(both.alias("x")).select("conv_id", F.col("x.role").alias("role"), F.col("x.text").alias("text"))
+    return extract.fan_out(groups, "text", ["role"]).select("conv_id", "idx", "role", F.length("text").alias("n_chars"))
+
+
+@query("SELECT doc_id, w AS word, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(lang || ' ' || source, ' ')) AS w FROM documents) GROUP BY ALL")
+def item_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An item per element."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.concat_ws(" ", "lang", "source"), " ")).alias("word"))
+    return rows.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, coalesce(nullif(CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE '' END, ''), CASE WHEN c_nationkey % 3 = 0 THEN c_name END, 'none') AS v FROM customer")
+def item_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A non-empty edge value, else the bind, else the field."""
+    edge = F.when(F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")).otherwise(F.lit(""))
+    return table(spark, sf_dir, "customer").select("c_custkey", extract.item_value(edge, F.when(F.col("c_nationkey") % 3 == 0, F.col("c_name")), F.lit("none")).alias("v"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'own' ELSE 'parent' END AS a, n_name AS b FROM nation")
+def context_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of the parent, overridden by the edge's."""
+    parent = F.create_map(F.lit("a"), F.lit("parent"), F.lit("b"), F.col("n_name"))
+    own = F.when(F.col("n_regionkey") == 1, F.create_map(F.lit("a"), F.lit("own"))).otherwise(F.create_map().cast("map<string,string>"))
+    m = extract.inherit(parent, own)
+    return table(spark, sf_dir, "nation").select("n_nationkey", m["a"].alias("a"), m["b"].alias("b"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT CAST(0 AS INTEGER) AS round, n_nationkey AS k FROM nation WHERE n_nationkey = 0
+    UNION SELECT round + 1, n_nationkey FROM r JOIN nation ON n_nationkey IN (k * 2 + 1, k * 2 + 2) WHERE round < 50)
+    SELECT k AS n_nationkey, min(round) AS round FROM r GROUP BY k""")
+def frontier_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations reached from nation 0 over a binary tree of keys, by rounds of a frontier."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey")
+    base = "http://n.example.com/"
+    seed = nation.filter("n_nationkey = 0").select(
+        F.lit("0").alias("id"), F.lit("t").alias("task_id"), F.lit("t").alias("trace_id"), F.lit("n").alias("node"), F.lit(base + "0").alias("url"), F.lit("{}").alias("vals"),
+        F.lit(0).alias("priority"), F.lit("{}").alias("transport"), F.lit("t").alias("parent"), F.lit(-1).alias("edge"), F.lit(0).alias("idx"),
+    )
+
+    def step(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        k = F.regexp_extract("url", "([0-9]+)$", 1).cast("int")
+        kids = rows.select("task_id", "trace_id", F.col("id").alias("parent"), F.posexplode(F.array(k * 2 + 1, k * 2 + 2)).alias("idx", "n_nationkey")).join(nation, "n_nationkey")
+        requests = kids.select("task_id", "trace_id", "parent", F.lit(0).alias("edge"), "idx", F.lit("n").alias("node"), F.concat(F.lit(base), "n_nationkey").alias("url"), F.lit("{}").alias("vals"), F.lit(0).alias("priority"), F.lit("{}").alias("transport"))
+        return requests, rows.select("id", k.alias("k"))
+
+    every, _ = frontier.crawl(seed, step, ["example.com"])
+    return every.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("int").alias("n_nationkey"), "round").groupBy("n_nationkey").agg(F.min("round").alias("round"))
+
+
+# -------------------------------------------------------------------- frontier
+
+_QUEUE = "(SELECT o_orderkey AS id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, o_orderkey AS sequence, (epoch_us(o_orderdate) // 1000) AS next_time, CASE o_orderstatus WHEN 'F' THEN 'browser' ELSE 'http' END AS mode FROM orders)"
+_NOW = 820_454_400_000
+
+
+def orders_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the durable request table, all pending."""
+    null = lambda t: F.lit(None).cast(t)
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("trace_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.col("o_orderkey").alias("sequence"),
+        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("next_time"), F.when(F.col("o_orderstatus") == "F", "browser").otherwise("http").alias("mode"),
+        F.lit(0).cast("tinyint").alias("state"), F.lit(0).cast("long").alias("version"), null("string").alias("leased_by"), null("long").alias("lease_time"),
+        F.lit(0).alias("retry_count"), F.lit(2).alias("max_retry_count"), null("long").alias("ack_version"),
+    )
+
+
+def failed_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
+    return returned.select(F.col("l_orderkey").alias("request_id"), F.lit("w1").alias("worker_id")).distinct()
+
+
+_ANTI = "NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = q.id AND l.l_returnflag = 'R')"
+
+
+@query(f"SELECT id, priority, CAST(1 AS BIGINT) AS version, 'w1' AS leased_by FROM {_QUEUE} q WHERE next_time <= {_NOW} AND mode = 'http' AND {_ANTI} ORDER BY priority DESC, sequence LIMIT 100")
+def queue_claim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A claim of 100 rows (the claim's own limit)."""
+    return frontier.claim(orders_queue(spark, sf_dir), failed_by(spark, sf_dir), "w1", ["http"], 100, _NOW).select("id", "priority", "version", "leased_by")
+
+
+@query(f"SELECT id, priority FROM {_QUEUE} q WHERE priority < 3 OR (priority = 3 AND sequence > 5000) ORDER BY priority DESC, sequence LIMIT 50")
+def queue_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.top(frontier.after(orders_queue(spark, sf_dir), 3, 5000), 50).select("id", "priority")
+
+
+@query(f"SELECT id, mode FROM {_QUEUE} q WHERE next_time <= {_NOW} AND mode IN ('http', 'browser')")
+def queue_due_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.capable(frontier.due(orders_queue(spark, sf_dir), _NOW), ["http", "browser"]).select("id", "mode")
+
+
+@query("SELECT o_orderkey AS id, c_name AS run, c_mktsegment AS params FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def queue_join_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with their run; Spark broadcasts the runs as long as its own size limit allows."""
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("trace_id"), F.col("c_name").alias("run"), F.col("c_mktsegment").alias("params"))
+    return orders_queue(spark, sf_dir).join(runs, "trace_id", "left").select("id", "run", "params")
+
+
+@query(f"SELECT id FROM {_QUEUE} q WHERE {_ANTI}")
+def queue_anti_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.not_failed_by(orders_queue(spark, sf_dir), failed_by(spark, sf_dir), "w1").select("id")
+
+
+@query("SELECT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 1 FROM orders WHERE o_orderstatus <> 'F') AS pending")
+def queue_exists_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(frontier.has_pending(orders_queue(spark, sf_dir), ["http", "browser"]),)], "pending boolean")
+
+
+_CLAIMED = f"(SELECT id, row_number() OVER (ORDER BY sequence) AS rn, priority FROM {_QUEUE} q WHERE priority = 5)"
+
+
+def _claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue with all rows of priority 5 being processed by w1."""
+    on = F.col("priority") == 5
+    return orders_queue(spark, sf_dir).withColumns({
+        "state": F.when(on, 1).otherwise(0).cast("tinyint"), "version": F.when(on, 1).otherwise(0).cast("long"), "leased_by": F.when(on, "w1"), "lease_time": F.when(on, F.lit(_NOW)),
+        "ack_version": F.when(on & (F.col("id") % 2 == 0), F.lit(1).cast("long")),
+    })
+
+
+@query("SELECT CAST(CASE WHEN substr(o_orderpriority, 1, 1) = '5' THEN CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END ELSE 0 END AS TINYINT) AS state, count(*) AS n FROM orders GROUP BY ALL")
+def settle_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5: every third claimed row succeeds."""
+    rows = _claimed(spark, sf_dir)
+    out = frontier.succeed(rows, rows.filter((F.col("state") == 1) & (F.col("id") % 3 == 0)).select("id", "version"))
+    return out.groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT (l_orderkey, l_linenumber)) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')")
+def settle_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settlements that were not recorded before, replays dropped."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("version"))
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    return frontier.fresh(items, items.join(done, "id", "left_semi")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, CAST(1 AS INTEGER) AS retry_count, CAST(0 AS TINYINT) AS state, 1000000000 + rn - 1 AS sequence FROM {_CLAIMED}")
+def settle_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed rows return to the end of the queue, in their old order."""
+    rows = _claimed(spark, sf_dir)
+    out, _ = frontier.fail(rows, rows.filter("state = 1").select("id", "version"), 1_000_000_000)
+    return out.filter("priority = 5").select("id", "retry_count", "state", "sequence")
+
+
+@query(f"SELECT id, CAST(CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS retry_count, CAST(0 AS TINYINT) AS state, 1000000000 + rn - 1 AS sequence FROM {_CLAIMED}")
+def queue_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An offline worker's rows; accepted ones cost a retry."""
+    workers = spark.createDataFrame([("w1", "t", 0, _NOW)], "worker_id string, token string, last_heartbeat long, offline_time long")
+    out = frontier.recover(_claimed(spark, sf_dir), workers, "w1", 1_000_000_000)
+    return out.filter("priority = 5").select("id", "retry_count", "state", "sequence")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT o_orderkey AS id FROM orders UNION SELECT l_orderkey + 1000000000 FROM lineitem)")
+def queue_push(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replays add nothing, new rows once."""
+    old = orders_queue(spark, sf_dir)
+    keys = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 1_000_000_000).alias("id"))
+    kinds = dict(old.dtypes)
+    new = keys.select("id", *[F.lit(0 if c in ("priority", "version", "retry_count", "state") else None).cast(kinds[c]).alias(c) for c in old.columns if c != "id"])
+    return frontier.push(old, old.unionByName(new), ["id", "priority"]).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+
+
+# ---------------------------------------------------------------------- counters
+
+
+@query("""SELECT user_id AS trace_id, event_type AS name, count(*) AS total, count(*) FILTER (value >= 20 OR value < 5) AS done,
+    count(*) FILTER (value < 5) AS "filter", count(*) FILTER (value >= 5 AND value < 10) AS dedup, count(*) FILTER (value >= 10 AND value < 15) AS validate, count(*) FILTER (value >= 15 AND value < 20) AS download
+    FROM events GROUP BY ALL""")
+def counters_by_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1-A4: six counters per run and node; a row filtered while it ran counts as filter and as done."""
+    v = F.col("value")
+    outcome = F.when(v < 5, "status").when(v < 10, "dedup").when(v < 15, "validate").when(v < 20, "download").otherwise("done")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), F.col("event_type").alias("name"), outcome.alias("outcome"), (v < 5).alias("admitted"))
+    delta = frontier.count(rows)
+    return frontier.merge_stats(delta.limit(0), delta)
+
+
+@query("SELECT l_orderkey AS id, CAST(max(l_linenumber) AS INTEGER) AS version FROM lineitem GROUP BY l_orderkey")
+def latest_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("version"))
+    return frontier.latest(rows)
+
+
+@query("""SELECT l_orderkey AS id FROM lineitem GROUP BY l_orderkey HAVING max(l_shipdate) < TIMESTAMP '1996-01-01'
+    AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND substr(o_orderpriority, 1, 1) = '5')""")
+def cleanup_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("completed_at"))
+    active = _claimed(spark, sf_dir).filter("state = 1")
+    return frontier.cleanable(done, active, _NOW)
+
+
+@query("SELECT count(*) FILTER (substr(o_orderpriority, 1, 1) <> '5') AS queued, count(*) FILTER (substr(o_orderpriority, 1, 1) = '5') AS processing, CAST(0 AS BIGINT) AS done, CAST(0 AS BIGINT) AS failed FROM orders")
+def queue_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.gauges(_claimed(spark, sf_dir))
+
+
+@query("SELECT request_id, array_to_string(list(w ORDER BY p, w), ',') AS workers FROM (SELECT DISTINCT l_orderkey AS request_id, l_linenumber AS p, CAST(l_suppkey AS VARCHAR) AS w FROM lineitem) GROUP BY request_id")
+def worker_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered list of a request's failed workers."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("position"), F.col("l_suppkey").cast("string").alias("worker_id")).distinct()
+    return frontier.exclusions(rows).select("request_id", F.array_join("workers", ",").alias("workers"))
+
+
+# ---------------------------------------------------------------------- stateful (E5)
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def dedup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document of each text, by fingerprint."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", stateful.fingerprint(F.col("text")).alias("fp"))
+    return stateful.first_by(rows, ["fp"], F.col("doc_id")).select("doc_id")
+
+
+@query("SELECT min(page_id) AS page_id FROM pages GROUP BY regexp_replace(url, '[?#].*$', '')")
+def dedup_norm_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("u"))
+    return stateful.first_by(rows, ["u"], F.col("page_id")).select("page_id")
+
+
+@query("SELECT event_id FROM events WHERE value > 50 UNION ALL SELECT min(event_id) FROM events WHERE NOT coalesce(value > 50, false) GROUP BY user_id, event_type")
+def dedup_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By user and type, rows with the bypass set pass."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.coalesce(F.col("value") > 50, F.lit(False)).alias("dont_filter"))
+    return stateful.first_by(rows, ["user_id", "event_type"], F.col("event_id"), "dont_filter").select("event_id")
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, (epoch_us(ts) // 1000) AS t FROM events),
+    r AS (SELECT user_id, event_type, min(t) AS t FROM e GROUP BY ALL
+      UNION ALL SELECT r.user_id, r.event_type, (SELECT min(t) FROM e WHERE e.user_id = r.user_id AND e.event_type = r.event_type AND e.t >= r.t + 86400000) AS t2 FROM r
+      WHERE (SELECT min(t) FROM e WHERE e.user_id = r.user_id AND e.event_type = r.event_type AND e.t >= r.t + 86400000) IS NOT NULL)
+    SELECT min(event_id) AS event_id FROM r JOIN e USING (user_id, event_type, t) GROUP BY user_id, event_type, t""")
+def dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One admission per user and type and day from the last admission on."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    return stateful.ttl_dedup(rows, ["user_id", "event_type"], "t", ["event_id"], 86_400_000).select("event_id")
+
+
+@query("""SELECT event_id, CAST(max(t - rn * 60000) OVER (PARTITION BY event_type ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) + rn * 60000 AS BIGINT) AS slot FROM
+    (SELECT event_id, event_type, (epoch_us(ts) // 1000) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events)""")
+def rate_limit_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    return stateful.rate_limit(rows, ["event_type"], "t", ["event_id"], 60_000).select("event_id", "slot")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN CAST([100, 500, 2000][least(o_orderkey % 6 + 1, 3)] AS BIGINT) END AS delay FROM orders")
+def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", stateful.retry_delay(F.col("o_orderkey") % 6, [100, 500, 2000], 5).alias("delay"))
+
+
+@query("SELECT event_type FROM events GROUP BY event_type HAVING min(user_id % 3) <> max(user_id % 3)")
+def rate_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 3).alias("qps"))
+    return stateful.rate_conflicts(rows, ["event_type"], "qps").select("event_type")
+
+
+# ------------------------------------------------------------ validation, sinks, rest
+
+
+@query("SELECT c_custkey FROM customer WHERE length(c_name) >= 5 AND c_mktsegment <> '' AND c_acctbal >= 0")
+def schema_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {"c_name": {"type": "string", "rules": ["required", {"min": 5}]}, "c_mktsegment": {"type": "string", "rules": ["required"]}, "c_acctbal": {"type": "float", "rules": [{"min": 0}]}}
+    return table(spark, sf_dir, "customer").filter(validate.valid(fields) & validate.has_all(["c_name"])).select("c_custkey")
+
+
+@query("SELECT '{\"id\":\"' || CAST(c_custkey AS VARCHAR) || '\",\"data\":{\"c_name\":\"' || c_name || '\",\"c_nationkey\":' || CAST(c_nationkey AS VARCHAR) || '}}' AS line FROM customer")
+def jsonl_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(sinks.jsonl_record(["c_name", "c_nationkey"], "c_custkey").alias("line"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_full_match(url, '[A-Za-z0-9][A-Za-z0-9._-]{0,63}') THEN url ELSE substr(regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g'), 1, 32) || '--' || sha256(url) END AS segment FROM pages")
+def path_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", sinks.path_segment_column(F.col("url")).alias("segment"))
+
+
+@query("SELECT p_partkey, sha256('[\"' || p_brand || '\",\"' || CAST(p_size AS VARCHAR) || '\"]') AS fp FROM part")
+def fingerprint_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F16, F17, D5."""
+    return table(spark, sf_dir, "part").select("p_partkey", stateful.fingerprint(F.col("p_brand"), F.col("p_size").cast("string")).alias("fp"))
+
+
+@query("""SELECT l_orderkey AS parent, sha256(CAST(l_orderkey AS VARCHAR) || chr(10) || l_returnflag || chr(10) || CAST(row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS VARCHAR)) AS id FROM lineitem""")
+def child_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ids from parent, fingerprint and occurrence."""
+    w = Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(w) - 1)
+    return rows.select(F.col("l_orderkey").alias("parent"), values.child_id(F.col("l_orderkey").cast("string"), F.col("l_returnflag"), F.col("n")).alias("id"))
+
+
+@query("SELECT o_orderkey, CASE WHEN (s = 303 AND m <> 'HEAD') OR (s IN (301, 302) AND m = 'POST') THEN 'GET' ELSE m END AS method, s IN (301, 302, 303, 307, 308) AS redirect, s >= 200 AND s < 400 AS kept FROM (SELECT o_orderkey, CAST(300 + o_orderkey % 10 AS INTEGER) AS s, CASE WHEN o_custkey % 2 = 0 THEN 'POST' ELSE 'HEAD' END AS m FROM orders)")
+def redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1a, S1b, P6."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 10 + 300).cast("int").alias("s"), F.when(F.col("o_custkey") % 2 == 0, "POST").otherwise("HEAD").alias("m"))
+    return rows.select("o_orderkey", extract.redirect_method(F.col("s"), F.col("m")).alias("method"), extract.is_redirect(F.col("s")).alias("redirect"), extract.response_kept(F.col("s")).alias("kept"))
+
+
+@query("SELECT page_id, octet_length(encode(html)) > 3000 AS too_large, CASE WHEN octet_length(encode(html)) <= 3000 THEN sha256(html) END AS body_sha FROM pages")
+def bounded_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1c."""
+    rows = table(spark, sf_dir, "pages").withColumnRenamed("html", "body")
+    return readers.bounded(rows, 3000).select("page_id", "too_large", F.sha2("body", 256).alias("body_sha"))
+
+
+@query("SELECT p.page_id, 200 AS status, length(q.html) AS n_chars FROM pages p JOIN pages q ON p.url = q.url")
+def fetch_captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests joined to captured responses by canonical URL."""
+    pages = table(spark, sf_dir, "pages")
+    rows = pages.select(F.col("page_id").cast("string").alias("id"), F.lit("t").alias("task_id"), F.lit("t").alias("trace_id"), F.lit("n").alias("node"), "url", F.lit("{}").alias("vals"))
+    own = rows.withColumn("page_id", F.col("id").cast("long"))
+    got = extract.fetch(rows, readers.captured(pages))
+    return got.select(F.col("request_id").cast("long").alias("page_id"), "status", F.length("body").cast("long").alias("n_chars")).join(own.select("page_id"), "page_id")
+
+
+@query("SELECT page_id, html AS text FROM pages")
+def charset_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-16 and UTF-8 bodies decode to the same text."""
+    raw = F.when(F.col("page_id") % 2 == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-16LE"))).otherwise(F.encode("html", "UTF-8"))
+    return table(spark, sf_dir, "pages").select("page_id", readers.decoded(raw, F.lit("text/html; charset=utf-8")).alias("text"))
+
+
+@query()
+def css_healing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A selector whose class has changed still finds the advert's text."""
+    from ..functions import dom
+
+    @F.pandas_udf("array<string>")
+    def healed(html: pd.Series) -> pd.Series:
+        return html.map(lambda h: [e.text() for e in healing.find(dom.parse(h or ""), "body > div.ads", True, 0.7)])
+
+    return table(spark, sf_dir, "pages").select("page_id", healed("html").alias("found"))
+
+
+@query()
+def media_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image objects of made-up markup around each page's URL."""
+    @F.pandas_udf("array<struct<name:string,url:string,src:string,width:long,height:long,size:long,ext:string,alt:string>>")
+    def images(url: pd.Series) -> pd.Series:
+        return url.map(lambda u: media.normalize([{"attrs": {"src": "/a.PNG?x=1#f", "width": "20"}}, "url('b.jpg')", "c.txt"], "image", u))
+
+    return table(spark, sf_dir, "pages").select("page_id", images("url").alias("media"))
+
+
+@query("SELECT event_id, ((epoch_us(ts) // 1000) // 900000 + 1) * 900000 AS next_ms FROM events")
+def cron_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every quarter of an hour."""
+    @F.pandas_udf("long")
+    def following(ms: pd.Series) -> pd.Series:
+        return ms.map(lambda t: cron.next_time("*/15 * * * *", int(t)))
+
+    return table(spark, sf_dir, "events").select("event_id", following(F.unix_millis(F.col("ts").cast("timestamp"))).alias("next_ms"))
+
+
+@query("SELECT page_id, CAST('0x' || substr(sha256(url), 1, 13) AS BIGINT) < 1125899906842624 AS sampled FROM pages")
+def sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a quarter of the rows, by digest."""
+    return table(spark, sf_dir, "pages").select("page_id", values.sampled(F.col("url"), 0.25).alias("sampled"))
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+
+
+def _drained(spark: SparkSession, df: DataFrame, mode: str, name: str) -> DataFrame:
+    """All of a stream, run to its end into a table in memory."""
+    name = f"{name}_{abs(hash((id(df), name)))}"
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT user_id, event_type FROM events GROUP BY ALL")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 as a stream over the events file."""
+    from ..streaming import streams
+
+    return _drained(spark, streams.dedup(_stream(spark, sf_dir).select("user_id", "event_type"), ["user_id", "event_type"]), "append", "stream_dedup")
+
+
+@query("SELECT event_type, count(*) AS total FROM events GROUP BY event_type")
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 as a stream."""
+    from ..streaming import streams
+
+    return _drained(spark, streams.counters(_stream(spark, sf_dir), ["event_type"]), "complete", "stream_counters")
