@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import conditions, urls, values
 from ..plans.config import Config
 from ..plans.rules import AiProvider, NodeProgram, RuleError
+from . import stateful
 
 _OUT = (
     "request_id string, task_id string, trace_id string, node string, error string, "
@@ -85,10 +86,11 @@ def emitted_items(emitted: DataFrame) -> DataFrame:
 def fetch(frontier: DataFrame, captured: DataFrame, body_limit: int = 64 << 20) -> DataFrame:
     """S1 without a network: requests joined to captured responses ``(url, status, body)`` by canonical URL.
 
-    A body over the limit makes an error row instead of a body; what was never captured gets status 404.
+    Of several captures of one URL the least counts. A body over the limit makes an error row instead of a body; what was never captured gets status 404.
     """
     key = lambda c: urls.canonical_column(c)
-    seen = captured.select(key(F.col("url")).alias("_key"), F.col("url").alias("final_url"), "status", "body").dropDuplicates(["_key"])
+    seen = captured.select(key(F.col("url")).alias("_key"), F.col("url").alias("final_url"), "status", "body")
+    seen = stateful.first_by(seen, ["_key"], F.struct("final_url", "status"))
     rows = frontier.withColumn("_key", key(F.col("url"))).join(seen, "_key", "left").drop("_key")
     over = F.octet_length("body") > body_limit
     return rows.select(

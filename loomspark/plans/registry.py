@@ -579,7 +579,9 @@ def bounded_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.bounded(rows, 3000).select("page_id", "too_large", F.sha2("body", 256).alias("body_sha"))
 
 
-@query("SELECT p.page_id, 200 AS status, length(q.html) AS n_chars FROM pages p JOIN pages q ON p.url = q.url")
+@query("""WITH c AS (SELECT page_id, url, html, base || '?' || array_to_string(list_transform(list_sort(list_transform(kv, lambda x, i: {'k': split_part(x, '=', 1), 'i': i, 'x': x})), lambda s: s.x), '&') AS k FROM
+    (SELECT page_id, url, html, regexp_replace(url, '[?#].*$', '') AS base, string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&') AS kv FROM pages))
+    SELECT p.page_id, 200 AS status, length(q.html) AS n_chars FROM c p JOIN (SELECT k, arg_min(html, url) AS html FROM c GROUP BY k) q USING (k)""")
 def fetch_captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests joined to captured responses by canonical URL."""
     pages = table(spark, sf_dir, "pages")
