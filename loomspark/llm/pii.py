@@ -36,7 +36,8 @@ Span = tuple[int, int, int]  # start, end, kind
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+# matches any number, so that a long one without a dot is passed over at once
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]+")
@@ -74,6 +75,8 @@ def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping spans of each kind, by start, then kind."""
     out = [(s, e, 0) for s, e in _emails(text)]
     for m in _DOTTED.finditer(text):
+        if m[0].count(".") < 3:
+            continue
         groups = [g.span() for g in _DIGIT.finditer(text, m.start(), m.end())]
         for k in range(0, len(groups) - 3, 4):
             if all(_octet(text[s:e]) for s, e in groups[k : k + 4]):

@@ -291,12 +291,12 @@ def test_base_spans(text):
 
 def test_pii_rows(spark, make):
     long = "1" * 200_000 + " a@b.co"
-    docs = [(1, "x a.b@c.de 10.0.0.1 4111 1111 1111 1111 +49 (30) 123-456"), (2, None), (3, ""), (3, ""), (4, "mail: jane [at] site [dot] org, phone: (212) 555-0199"), (5, long), (None, "é 1.2.3.4")]
+    docs = [(1, "x a.b@c.de 10.0.0.1, 4111 1111 1111 1111 +49 (30) 123-456"), (2, None), (3, ""), (3, ""), (4, "mail: jane [at] site [dot] org, phone: (212) 555-0199"), (5, long), (None, "é 1.2.3.4")]
     got = {(x.doc_id, x.n_email, x.n_ip, x.n_card, x.n_phone, x.spans) for x in pii.find_pii(make(docs)).collect()}
-    assert (1, 1, 1, 1, 1, "email:2:10,ip:11:19,card:20:39,phone:40:56") in got and (2, 0, 0, 0, 0, "") in got and (None, 0, 1, 0, 0, "ip:2:9") in got
-    assert (4, 0, 0, 0, 0, "email:6:29,phone:38:52") in got and len(got) == 6 and (5, 1, 0, 0, 0, "email:200001:200007") in got
+    assert (1, 1, 1, 1, 1, "email:2:10,ip:11:19,card:21:40,phone:41:57") in got and (2, 0, 0, 0, 0, "") in got and (None, 0, 1, 0, 0, "ip:2:9") in got
+    assert (4, 0, 0, 0, 0, "email:6:30,phone:39:53") in got and len(got) == 6 and (5, 1, 0, 0, 0, "email:200001:200007") in got
     assert pii.find_pii(make([])).collect() == []
-    assert pii.redact(docs[0][1], pii.base_spans(docs[0][1])) == "x [EMAIL] [IP] [CARD] [PHONE]"
+    assert pii.redact(docs[0][1], pii.base_spans(docs[0][1])) == "x [EMAIL] [IP], [CARD] [PHONE]"
 
 
 def test_the_judge_is_exact_on_new_examples():
