@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from loomspark.llm import chatformat as cf
 from loomspark.llm import htmltext, warczip
 
-ODD = st.text(st.sampled_from(["<|turn|>", "<|text|>", "<|end|>", "</s>", "<s>", "[INST]", "[/INST]", "\\", "<", "|", ">", "[", "/", "a", "é", "日", "\U0001f600", " ", "\n"]), max_size=12)
+ODD = st.lists(st.sampled_from(["<|turn|>", "<|text|>", "<|end|>", "</s>", "<s>", "[INST]", "[/INST]", "\\", "<", "|", ">", "[", "/", "a", "é", "日", "\U0001f600", " ", "\n"]), max_size=12).map("".join)
 
 
 @settings(max_examples=150, deadline=None)
