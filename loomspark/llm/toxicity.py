@@ -29,7 +29,7 @@ TRAIN_PER_LABEL = 4000
 #: Patterns in the lexicon, at most, and labelled documents that one must be seen in.
 LEXICON, SUPPORT = 1000, 3
 #: How often every toxic training document should be covered before further patterns stop paying.
-COVER = 3
+COVER = 2
 #: Score from which a document counts as toxic (fixed by the contract).
 DECIDE = 0.7
 
@@ -237,11 +237,17 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> tuple[list[bytes],
     held = F.broadcast(sample.sparkSession.createDataFrame([(k, p) for k, p in enumerate(good)], "k int, p string"))
     index = {r["k"]: r["docs"] for r in each.filter("toxic = 1").join(held, "p").groupBy("k").agg(F.collect_list("doc_id").alias("docs")).collect()}
     covered: Counter = Counter()
+    taken: dict[str, str] = {}
+    sizes: dict[str, int] = {}
     words, begins = [], []
     for k, p in enumerate(good):
-        docs = index.get(k, [])
+        docs, text = index.get(k, []), p[1:]
+        # a beginning of a taken word, or a word with a taken beginning, is no further evidence
+        if any(text.startswith(q) for q in taken if taken[q] == "b") or p[0] == "b" and any(q.startswith(text) and sizes[q] == len(docs) for q in taken):
+            continue
         if sum(covered[d] < COVER for d in docs) >= max(SUPPORT, len(docs) // 20):
             covered.update(docs)
+            taken[text], sizes[text] = p[0], len(docs)
             (words if p[0] == "w" else begins).append(p[1:].encode("utf-8", "surrogatepass"))
     return words, begins
 
