@@ -199,7 +199,7 @@ def test_line_dedup(spark, make):
     sims = {}
     rows = linededup.lines(spark.createDataFrame([(k, t) for k, t in enumerate(seen)], "doc_id long, text string")).collect()
     for x in rows:
-        sims[list(seen)[x.doc.doc_id]] = x.sim & (1 << 64) - 1
+        sims[list(seen)[x.doc.doc_id]] = x.id.sim & (1 << 64) - 1
     keys, up = list(seen), {k: k for k in seen}
 
     def root(k):
@@ -229,7 +229,7 @@ def test_simhash_is_a_majority(spark):
     norm = [re.sub("[1-9]", "0", w) for w in text.split()]
     h = [r[0] & (1 << 64) - 1 for r in spark.createDataFrame([(w,) for w in norm], "w string").select(F.xxhash64("w")).collect()]
     want = sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
-    assert x.sim & (1 << 64) - 1 == want
+    assert x.id.sim & (1 << 64) - 1 == want
     long = spark.createDataFrame([(1, "same " * 40000), (2, "same " * 40000), (3, " ".join(f"x{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(20000)))], "doc_id long, text string")
     assert [x.n_removed for x in linededup.dedup_lines(long).orderBy("doc_id").collect()] == [0, 1, 0]
 
