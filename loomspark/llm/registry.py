@@ -36,7 +36,7 @@ def op3_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
 
-    return dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return dedup_lines(read_table(spark, sf_dir, "documents"), bands=True).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

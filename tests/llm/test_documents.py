@@ -234,6 +234,31 @@ def test_simhash_is_a_majority(spark):
     assert [x.n_removed for x in linededup.dedup_lines(long).orderBy("doc_id").collect()] == [0, 1, 0]
 
 
+def lettered(r, n):
+    return ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(n)]
+
+
+def test_similar_lines_by_edit_distance_alone(spark, make):
+    r = random.Random(12)
+    texts = []
+    for n in (10, 20, 30, 50) * 6:
+        line = lettered(r, n)
+        texts.append(" ".join(line))
+        for changes in (1, n // 8):
+            edited = list(line)
+            for k in r.sample(range(n), changes):
+                edited[k] = lettered(r, 1)[0]
+            texts.append(" ".join(edited))
+    up = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and i // 3 == j // 3 and lev(a, b) <= 0.2 * max(len(a), len(b)):
+                up[i] = min(up[i], up[j])
+    out = {x.doc_id: x.n_removed for x in linededup.dedup_lines(make(list(enumerate(texts))), bands=True).collect()}
+    want = {k: int(up[k] != k) for k in out}
+    assert out == want and sum(want.values()) > 40
+
+
 # ------------------------------------------------------------------------------ mixing
 
 
