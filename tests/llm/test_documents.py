@@ -234,6 +234,13 @@ def test_simhash_is_a_majority(spark):
     assert [x.n_removed for x in linededup.dedup_lines(long).orderBy("doc_id").collect()] == [0, 1, 0]
 
 
+def test_no_step_by_length(spark, make):
+    r = random.Random(13)
+    line = lettered(r, 16_385)
+    sims = [x.id.sim for x in linededup.lines(make([(1, " ".join(line[:-1])), (2, " ".join(line))])).collect()]
+    assert bin((sims[0] ^ sims[1]) & (1 << 64) - 1).count("1") <= 3
+
+
 def lettered(r, n):
     return ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(n)]
 
