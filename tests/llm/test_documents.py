@@ -241,6 +241,15 @@ def test_no_step_by_length(spark, make):
     assert bin((sims[0] ^ sims[1]) & (1 << 64) - 1).count("1") <= 3
 
 
+def test_lines_of_few_words(spark, make):
+    r = random.Random(14)
+    chars = [chr(0x4E00 + r.randrange(5000)) for _ in range(60)]
+    line, edited = "".join(chars), "".join(chars[:20] + ["\u9fa5"] + chars[21:])
+    docs = [(1, line), (2, line), (3, edited), (4, "Copyright notice"), (5, "copyright  notice!"), (6, "of"), (7, "of")]
+    out = linededup.dedup_lines(make(docs), bands=True).collect()
+    assert {x.doc_id for x in out if x.n_removed} == {2, 3, 5}
+
+
 def lettered(r, n):
     return ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(n)]
 
