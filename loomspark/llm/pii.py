@@ -6,7 +6,8 @@ prefix, IPv6), boosted trees judge each by its format and its context, and a
 calibrated threshold per kind selects what is redacted as well.
 
 The trees are trained here, on ``EXAMPLES`` made-up sentences of a seeded
-generator; half of them calibrate the scores and set the thresholds.
+generator and on a quarter as many lists of numbers; half of them calibrate the
+scores and set the thresholds.
 """
 
 from __future__ import annotations
@@ -98,24 +99,35 @@ def base_spans(text: str) -> list[Span]:
 _SPELT = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?(?:@|\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z]{2,24})+", re.I)
 _NUMBERS = re.compile(r"\(?[0-9][0-9().\x20/-]{6,}[0-9]")
 _COLONS = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Za-z:])")
-#: Longer runs of digits and separators are no single number.
-_LONGEST = 40
+# without one of these the pattern of written-out addresses finds nothing
+_AT = re.compile(r"@|\(at\)|\[at\]|\sat\s", re.I)
+
+
+def _numbers(text: str, start: int, end: int) -> Iterator[Span]:
+    """The spans from one digit group to another of a run that can be numbers; no more than 19 a group."""
+    groups = [g.span() for g in _DIGIT.finditer(text, start, end)]
+    for k, (s, _) in enumerate(groups):
+        low, n = s - (s > start and text[s - 1] == "("), 0
+        for a, e in groups[k:]:
+            n += e - a
+            if n > 19:
+                break
+            if e - low >= 8:
+                if n >= 12:
+                    yield low, e, 2
+                if 7 <= n <= 15:
+                    yield low, e, 3
 
 
 def candidates(text: str) -> list[Span]:
-    """Overlapping spans that may be personal data; a run of numbers is proposed as card and as phone."""
+    """Overlapping spans that may be personal data; runs of numbers and their parts are proposed as card and as phone."""
     out: list[Span] = []
-    if "dot" in text or "@" in text or "DOT" in text:
+    if _AT.search(text):
         out += [(m.start(), m.end(), 0) for m in _SPELT.finditer(text)]
     if text.count(":") >= 3:
         out += [(m.start(), m.end(), 1) for m in _COLONS.finditer(text)]
     for m in _NUMBERS.finditer(text):
-        if m.end() - m.start() <= _LONGEST:
-            n = sum(map(str.isdigit, m[0]))
-            if 12 <= n <= 19:
-                out.append((m.start(), m.end(), 2))
-            if 7 <= n <= 15:
-                out.append((m.start(), m.end(), 3))
+        out += _numbers(text, m.start(), m.end())
     return out
 
 
@@ -128,6 +140,10 @@ _CUES = (
 _OTHER_CUE = re.compile(r"(version|order|invoice|isbn|part|serial|build|\bid\b|no\.|ref|total|date|sku|article|rechnung|bestell)", re.I)
 
 
+# the digit groups that go on before and after a span
+_LEFT, _RIGHT = re.compile(r"([0-9]+)[().\x20/-]*$"), re.compile(r"[().\x20/-]*([0-9]+)")
+
+
 def features(text: str, span: Span) -> list[float]:
     s, e, kind = span
     body = text[s:e]
@@ -135,6 +151,7 @@ def features(text: str, span: Span) -> list[float]:
     digits = "".join(c for c in body if c.isdigit())
     groups = [len(g) for g in re.findall(r"[0-9]+", body)] or [0]
     prev, following = before[-1:], after[:1]
+    left, right = _LEFT.search(before), _RIGHT.match(after)
     return [
         *(float(kind == k) for k in range(4)), float(len(body)), float(len(digits)), float(len(groups)), float(max(groups)), float(min(groups)),
         float(bool(digits) and luhn(digits)), float(body.count(" ")), float(body.count("-")), float(body.count(".")), float(body.count("/")),
@@ -142,6 +159,7 @@ def features(text: str, span: Span) -> list[float]:
         float(bool(_CUES[kind].search(before))), float(bool(_CUES[kind].search(after))), float(bool(_OTHER_CUE.search(before))),
         float(prev.isdigit() or prev in (".", "-", "/", "#", "$", "€")), float(prev.isalpha()), float(following.isdigit() or following in ("%", "/")), float(following.isalpha()),
         float(groups[0] == 4 and digits[:2] in ("19", "20")), float(sum(c in "abcdefABCDEF" for c in body)), float(len(set(digits))),
+        float(groups[0]), float(groups[-1]), float(len(left[1]) if left else 0), float(len(right[1]) if right else 0),
     ]
 
 
@@ -183,14 +201,49 @@ def _sentence(r: random.Random) -> tuple[str, Span, int]:
     return text, (len(head), len(head) + len(body), kind), int(good)
 
 
+def _listed(r: random.Random) -> list[tuple[str, Span, int]]:
+    """A made-up text with numbers in a row, or an address with one part spelt out: its candidates and whether each is one whole personal datum."""
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    w = lambda: "".join(r.choice("aeiourstlnmdkp") for _ in range(r.randint(2, 8)))
+    kind, good = r.choice([0, 2, 2, 3, 3]), r.random() < 0.6
+    head = " ".join(w() for _ in range(r.randint(0, 4))) + " "
+    if kind == 0:
+        head += r.choice(["email me: ", "contact ", "write to ", "reach us via ", ""])
+        at, dot = r.choice([("(at)", "."), ("[at]", "."), (" (at) ", "."), (" [at] ", "."), ("@", " dot "), ("@", "[dot]")])
+        items, joint = [f"{w()}{at}{w()}{dot}{r.choice(['com', 'org', 'net', 'de'])}"], ""
+    elif kind == 2:
+        sep, joint = r.choice([("", " "), ("", "  "), ("", " / "), ("", "/"), (" ", " "), ("-", " "), (" ", " / ")])
+        head += r.choice(["card number ", "paid by visa ", "credit cards ", "Karte ", "", ""])
+        items = []
+        for _ in range(r.randint(2, 4)):
+            digits = r.choice("3456") + d(14)
+            last = next(c for c in "0123456789" if luhn(digits + c))
+            digits += last if good else r.choice([c for c in "0123456789" if c != last])
+            items.append(sep.join(digits[i : i + 4] for i in range(0, 16, 4)))
+    else:
+        sep, joint, shape = r.choice([" ", "-", "."]), r.choice([" ", "  ", " / ", " / "]), r.randrange(4)
+        head += r.choice(["phone: ", "call ", "tel. ", "mobile ", "Telefon "]) if good else r.choice(["order ", "invoice no. ", "serial ", "ref ", ""])
+        number = lambda: [f"({d(3)}) {d(3)}{sep}{d(4)}", f"{d(3)}{sep}{d(3)}{sep}{d(4)}", f"0{d(2)} {d(7)}", f"0{d(2)} {d(4)} {d(4)}"][shape]
+        items = [number() if good else r.choice([d(8), d(10), f"{d(4)} {d(4)}"]) for _ in range(r.randint(2, 4))]
+    text, true = head, set()
+    for k, item in enumerate(items):
+        text += joint if k else ""
+        true.add((len(text), len(text) + len(item), kind))
+        text += item
+    text += r.choice([" ", ". ", ", ", ""]) + " ".join(w() for _ in range(r.randint(0, 4)))
+    return [(text, c, int(c in true and (good or kind == 0))) for c in candidates(text)]
+
+
 class Judge:
     """Trees, calibration and a threshold per kind."""
 
     def __init__(self, examples: int = EXAMPLES, seed: int = SEED) -> None:
         r = random.Random(seed)
-        made = [_sentence(r) for _ in range(examples)]
+        made, half = [_sentence(r) for _ in range(examples)], examples // 2
+        listed = [_listed(r) for _ in range(examples // 4)]
+        taught = made[:half] + [e for own in listed[::2] for e in own]
+        made, half = taught + made[half:] + [e for own in listed[1::2] for e in own], len(taught)
         x, y = np.array([features(t, s) for t, s, _ in made]), np.array([g for _, _, g in made], dtype=np.float64)
-        half = examples // 2
         self.trees = BoostedTrees().fit(x[:half], y[:half])
         z = self.trees.logits(x[half:])
         self.scale = Calibration().fit(z, y[half:])

@@ -340,6 +340,20 @@ def test_pii_rows(spark, make):
     assert pii.redact(docs[0][1], pii.base_spans(docs[0][1])) == "x [EMAIL] [IP], [CARD] [PHONE]"
 
 
+def test_pii_in_rows_of_numbers():
+    def added(text):
+        (base, more), = pii.find([text], pii.judge())
+        return [] if base else [(text[s:e], pii.KINDS[k]) for s, e, k in sorted(more)]
+
+    card = "4465758382889437"
+    assert added(f"nta ramiar, {card} {card} ojaga") == [(card, "card")] * 2
+    assert added("write to john(at)example.com today") == [("john(at)example.com", "email")]
+    got = {(text[s:e], k) for text in ["call 030 1234567 / 030 7654321, " * 9] for s, e, k in pii.candidates(text)}
+    assert {("030 1234567", 3), ("030 7654321", 3)} <= got
+    assert added("call 030 1234567 / 030 7654321 please") == [("030 1234567", "phone"), ("030 7654321", "phone")]
+
+
+
 def test_the_judge_is_exact_on_new_examples():
     r = random.Random(99)
     made = [pii._sentence(r) for _ in range(800)]
