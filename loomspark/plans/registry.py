@@ -143,6 +143,16 @@ def fanout_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def fanout_all_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request edges of ``fanout_requests`` whatever their links hold, percent-encoded."""
+    rows = extract.emitted_requests(emitted(spark, sf_dir))
+    return rows.select(
+        F.col("parent").cast("long").alias("page_id"), F.get_json_object("vals", "$.idx").cast("int").alias("idx"), F.col("url").alias("link"),
+        F.get_json_object("vals", "$.origin").alias("origin"), "priority",
+    )
+
+
 @query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
 def extract_lang_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"))
