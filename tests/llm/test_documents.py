@@ -74,6 +74,15 @@ def test_decontamination(spark, make):
     assert all(not brute_hits(cut[d], items[:12])[1] for d, _ in docs[42:45])
 
 
+def test_decontamination_by_blocks_keeps_rows(spark, make):
+    r = random.Random(15)
+    items = [(k, prose(r, 14, 30)) for k in range(20)]
+    docs = [(1, prose(r, 20, 30)), (1, items[3][1] + " x"), (1, items[3][1] + " x"), (None, "a " + items[5][1]), (None, None), (2, prose(r, 9, 30))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = [sorted(map(repr, dc.decontaminate(make(docs), bench, block_chars=n).collect())) for n in (10**9, 300)]
+    assert out[0] == out[1] and len(out[0]) == len(docs)
+
+
 def test_decontamination_of_nothing(spark, make):
     bench = spark.createDataFrame([(1, "x y")], "item_id long, text string")
     assert dc.decontaminate(make([]), bench).collect() == []
