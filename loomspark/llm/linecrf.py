@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .textvec import bytes_of, glued, mix, word_bounds
 
 CONTENT, BOILERPLATE = 0, 1
-#: Bound of the training sample: documents per quality label, in order of a hash of the id, and the lines used of each.
-TRAIN_PER_LABEL, TRAIN_LINES = 1500, 200
+#: Bound of the training sample: documents per quality label, in order of a hash of the id; each is used whole.
+TRAIN_PER_LABEL = 1500
 #: Share of words in content lines from which a document is kept.
 KEEP_SHARE = 0.5
 #: Base rules (fixed by the contract).
@@ -126,7 +126,7 @@ def _teach(text: str, quality: int, seed_crf: LineCRF) -> tuple[np.ndarray, np.n
     Lines of a good document are content but for plain notices; of a bad one, boilerplate
     where the prior leans that way at all.
     """
-    x = line_features(text.split("\n")[:TRAIN_LINES])
+    x = line_features(text.split("\n"))
     if not len(x):
         return None
     lean = (x @ seed_crf.emit)[:, BOILERPLATE]

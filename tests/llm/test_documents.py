@@ -437,3 +437,10 @@ def test_toxicity(spark, make):
     plain = toxicity.train(make([]), labels.limit(0))
     assert toxicity.toxicity(make([]), plain).collect() == []
     assert [x.predicted for x in toxicity.toxicity(make([(1, "you idiot and moron. scum, you loser"), (2, "a calm day")]), plain).orderBy("doc_id").collect()] == [1, 0]
+
+
+def test_line_crf_learns_from_whole_documents():
+    text = "\n".join(["A plain line of words that says something."] * 300 + ["All rights reserved | menu"])
+    x, y = linecrf._teach(text, 1, linecrf.LineCRF())
+    assert len(x) == len(y) == 301 and y[-1] == linecrf.BOILERPLATE
+    assert np.flatnonzero(x[:, linecrf.FEATURES.index("edge")]).tolist() == [0, 300]
