@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import written
+from .session import discard, same_table, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         step = step.join(jump, "next", "left").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved"))
         step = written(step, "labels")
-        labels = step.select("node", "label")
+        discard(labels)
         if step.filter("moved").isEmpty():
-            return labels
+            discard(both)
+            return same_table(step.select("node", "label"), step)
+        labels = same_table(step.select("node", "label"), step)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

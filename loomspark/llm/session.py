@@ -44,7 +44,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.shared_path = path
+    return table
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``written``, as a table in as many buckets by ``key`` as the session has shuffle partitions.
+
+    Where ``df`` comes out of an exchange by ``key`` every bucket is one file, and
+    joins and aggregates by ``key`` on the table need no exchange.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = f"loomspark_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.read.table(table)
+    out.shared_path, out.shared_name = path, table
+    return out
+
+
+def same_table(view: DataFrame, table: DataFrame) -> DataFrame:
+    """``view``, which ``discard`` then takes for the table below it."""
+    view.shared_path = vars(table)["shared_path"]
+    return view
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` and ``bucketed`` that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        if vars(t).get("shared_name"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.shared_name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(vars(t)["shared_path"])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
