@@ -1,21 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become a handful of symbols (insult, threat, target, negation, report,
-other).  Three transducers, for targets, negation and reported speech, are
-composed into one; it reads a clause and turns each insult or threat into an
-event that says how it is meant.  A document's score is the logistic of its
-weighted events, so isolated words count by the clause they stand in.
-
-The insult lexicon (words, and beginnings that many of them share) and the
-weights of the events are learned from labelled documents; a few fixed words
-stand in where there are no labels.
+Words are read into classes (slur, harm, intent, target, negation, report, other).
+Five weighted transducers, for insults, threats, targets, negation and reported
+speech, are composed into one machine that reads a clause.  Its arcs carry the
+labels of the transducers that acted; an event's weight is the sum of its labels'
+weights, as composition adds them, so what an insult or a threat counts depends on
+the clause it stands in.  A document's score is the logistic of its weighted events.
+
+The slurs (words, and beginnings that many of them share) and the weights of the
+labels are learned from labelled documents; a few fixed words and weights stand in
+where there are no labels.  Classes of words are found by hashes of whole words and
+of their beginnings, which accepts what a letter tree of the lexicon accepts.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,14 @@ DECIDE = 0.7
 
 # Words of the grammar in English, German, French and Spanish.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown dumbass trottel abschaum dummkopf widerlich imbécile crétin ordure minable imbécil estúpido escoria basura"
+INTENTS = "will ll gonna going shall must should want werde werden wird soll vais va allons doit voy vas vamos va debe"
 THREATS = "kill hurt destroy beat murder töten umbringen schlagen vernichten tuer frapper détruire matar golpear destruir"
 TARGETS = "you your yourself he she they him her them du dich dir euch ihr sie tu te toi vous il elle ils usted ustedes tú ti él ella ellos"
 NEGATIONS = "not no never none nicht kein keine nie niemals pas jamais aucun nunca jamás ni"
 REPORTS = "said says called calls wrote quoted quote claims alleged sagte sagt nannte schrieb dit disait appelé écrit dijo dice llamó escribió"
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+_WORDS = ("other", "slur", "harm", "intent", "target", "negation", "report")
+OTHER, SLUR, HARM, INTENT, TARGET, NEGATION, REPORT = range(len(_WORDS))
 _LETTERS = _table((), True, [*range(65, 91), *range(97, 123), *range(128, 256)])
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[10, 13, 33, 46, 59, 63]] = True
@@ -51,69 +56,124 @@ _ENDS[[10, 13, 33, 46, 59, 63]] = True
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic transducer: ``step[state][symbol] = (next state, output, weight)``; state 0 starts."""
+    """A deterministic transducer: ``step[state][symbol] = (next state, output, labels)``; state 0 starts.
 
-    step: tuple[dict[str, tuple[int, str, float]], ...]
+    The labels of an arc stand for their weights; weights add up along composed arcs.
+    """
+
+    step: tuple[dict[str, tuple[int, str, tuple[str, ...]]], ...]
+
+    def read(self, symbols: Sequence[str]) -> list[tuple[str, tuple[str, ...]]]:
+        """Output and labels of each symbol."""
+        state, out = 0, []
+        for s in symbols:
+            state, *made = self.step[state][s]
+            out.append(tuple(made))
+        return out
 
     def then(self, other: Transducer) -> Transducer:
-        """Composition: the outputs of this one are the inputs of ``other``; weights add up."""
+        """Composition: the outputs of this one are the inputs of ``other``."""
         number, queue, made = {(0, 0): 0}, [(0, 0)], []
         for a, b in queue:
             row = {}
-            for symbol, (na, out, w) in self.step[a].items():
-                nb, out2, w2 = other.step[b][out]
+            for symbol, (na, out, labels) in self.step[a].items():
+                nb, out2, labels2 = other.step[b][out]
                 if (na, nb) not in number:
                     number[na, nb] = len(queue)
                     queue.append((na, nb))
-                row[symbol] = (number[na, nb], out2, w + w2)
+                row[symbol] = (number[na, nb], out2, labels + labels2)
             made.append(row)
         return Transducer(tuple(made))
 
 
-_WORDS = ("other", "insult", "threat", "target", "negation", "report")
+def _outputs(t: Transducer) -> tuple[str, ...]:
+    return tuple(sorted({out for row in t.step for _, out, _ in row.values()}))
 
 
-def _windowed(trigger: str, marked: tuple[str, ...], suffix: str, width: int, weight: float, alphabet: tuple[str, ...]) -> Transducer:
-    """Marks the symbols of ``marked`` that follow ``trigger`` within ``width`` words (to the end of the clause for 0)."""
-    top = max(1, width)
+def _is_event(symbol: str) -> bool:
+    return symbol.split("+")[0] in ("insult", "threat", "harm")
+
+
+def insults() -> Transducer:
+    """A slur is an insult; one that follows another within three words repeats it."""
     step = []
-    for state in range(top + 1):
+    for state in range(4):
+        row = {s: (max(0, state - 1), s, ()) for s in _WORDS}
+        row["slur"] = (3, "insult", ("insult", "repeat") if state else ("insult",))
+        step.append(row)
+    return Transducer(tuple(step))
+
+
+def threats(alphabet: tuple[str, ...]) -> Transducer:
+    """A verb of harm is a threat within four words after an intent, else harm that is only spoken of."""
+    step = []
+    for state in range(5):
+        row = {s: (max(0, state - 1), s, ()) for s in alphabet}
+        row["intent"] = (4, "other", ())
+        row["harm"] = (max(0, state - 1), "threat", ("threat",)) if state else (0, "harm", ("harm",))
+        step.append(row)
+    return Transducer(tuple(step))
+
+
+def targets(alphabet: tuple[str, ...], before: int = 4, after: int = 3) -> Transducer:
+    """Events are aimed by a target that stands before or after them; one after them gives an output of its own."""
+    states = [(b, a) for b in range(before + 1) for a in range(after + 1)]
+    number = {s: k for k, s in enumerate(states)}
+    step = []
+    for b, a in states:
         row = {}
         for s in alphabet:
-            left = state if not width else max(0, state - 1)
-            out, w = s, 0.0
-            if state and s.split("+")[0] in marked:
-                out, w = s + suffix, weight
-            row[s] = (top if s.split("+")[0] == trigger else left, out, w)
+            down = (max(0, b - 1), max(0, a - 1))
+            if s == "target":
+                row[s] = (number[before, 0], *(("aim", ("aimed",)) if a else ("other", ())))
+            elif _is_event(s):
+                row[s] = (number[down], s + "+aimed", ("aimed",)) if b else (number[0, after], s, ())
+            else:
+                row[s] = (number[down], s, ())
+        step.append(row)
+    order = [states.index((0, 0)), *(k for k, s in enumerate(states) if s != (0, 0))]
+    place = {k: n for n, k in enumerate(order)}
+    return Transducer(tuple({s: (place[n], out, labels) for s, (n, out, labels) in step[k].items()} for k in order))
+
+
+def marked(trigger: str, label: str, width: int, alphabet: tuple[str, ...]) -> Transducer:
+    """Labels the events that follow ``trigger`` within ``width`` words, or to the end of the clause for 0."""
+    top = max(1, width)
+    step = []
+    for state in range(top + 1):
+        left = state if not width else max(0, state - 1)
+        row = {s: (left, f"{s}+{label}", (label,)) if state and _is_event(s) else (left, s, ()) for s in alphabet}
+        row[trigger] = (top, "other", ())
         step.append(row)
     return Transducer(tuple(step))
 
 
+def transducers() -> list[Transducer]:
+    """The five transducers in the order of their composition."""
+    out = [insults()]
+    for make in (threats, targets, lambda x: marked("negation", "negated", 3, x), lambda x: marked("report", "reported", 0, x)):
+        out.append(make(_outputs(out[-1])))
+    return out
+
+
 def grammar() -> Transducer:
-    aimed = _windowed("target", ("insult", "threat"), "+aimed", 4, 0.5, _WORDS)
-    second = (*_WORDS, "insult+aimed", "threat+aimed")
-    negated = _windowed("negation", ("insult", "threat"), "+negated", 3, -1.0, second)
-    third = (*second, *(s + "+negated" for s in second if s.split("+")[0] in ("insult", "threat")))
-    return aimed.then(negated).then(_windowed("report", ("insult", "threat"), "+reported", 0, -0.5, third))
+    first, *rest = transducers()
+    return reduce(Transducer.then, rest, first)
 
 
 GRAMMAR = grammar()
-#: Events that the grammar can put out, in a fixed order.
-EVENTS = sorted({out for row in GRAMMAR.step for _, out, _ in row.values() if out.split("+")[0] in ("insult", "threat")})
+#: What the transducers can say of an event, and what it weighs before anything is learned; the sign of a weight stays.
+LABELS = {"insult": 2.5, "repeat": 0.5, "threat": 3.6, "harm": 0.3, "aimed": 1.2, "negated": -3.0, "reported": -2.0}
+_PRIOR, _BIAS = np.array(list(LABELS.values())), -2.2
+#: Events by their labels, in a fixed order, and how often each label stands in each.
+EVENTS = sorted({labels for row in GRAMMAR.step for _, _, labels in row.values() if labels})
 _EVENT = {e: k for k, e in enumerate(EVENTS)}
-#: What an event weighs before anything is learned.
-_PRIOR = np.array([max(0.2, (2.5 if e.startswith("insult") else 1.0) + 0.5 * ("aimed" in e) - 1.0 * ("negated" in e) - 0.5 * ("reported" in e)) if e.startswith("insult") or "aimed" in e else 0.1 for e in EVENTS])
-_BIAS = -2.2
-
-
-def clause_events(symbols: list[int]) -> list[str]:
-    """The events of one clause."""
-    state, out = 0, []
-    for s in symbols:
-        state, event, _ = GRAMMAR.step[state][_WORDS[s]]
-        if event in _EVENT:
-            out.append(event)
-    return out
+_IN_EVENT = np.array([[e.count(x) for x in LABELS] for e in EVENTS], dtype=np.float64)
+
+
+def clause_events(symbols: list[int]) -> list[tuple[str, ...]]:
+    """The labels of a clause's events."""
+    return [labels for _, labels in GRAMMAR.read([_WORDS[s] for s in symbols]) if labels]
 
 
 # -------------------------------------------------------------------------- scoring
@@ -143,13 +203,13 @@ def _range_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.
 
 
 class Lexicon:
-    """Symbols of words by hash: whole words, and insults by their first bytes."""
+    """Classes of words by hash: whole words, and slurs by their first bytes."""
 
     def __init__(self, insults: list[bytes], beginnings: list[bytes]) -> None:
         table: dict[bytes, int] = {}
-        for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT)):
+        for words, symbol in ((INTENTS, INTENT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, HARM)):
             table |= {w.encode(): symbol for w in words.split()}
-        table |= dict.fromkeys(insults, INSULT)
+        table |= dict.fromkeys(insults, SLUR)
         words = list(table)
         h = _word_hash(words)
         order = np.argsort(h)
@@ -169,7 +229,7 @@ class Lexicon:
             long = np.flatnonzero((ends - starts >= n) & (symbols == OTHER))
             h = _range_hash(buf, starts[long], starts[long] + n, sums)
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            symbols[long[known[at] == h]] = INSULT
+            symbols[long[known[at] == h]] = SLUR
         return starts, symbols
 
 
@@ -178,7 +238,7 @@ def events_of(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     out = np.zeros((len(texts), len(EVENTS)), dtype=np.int64)
     for first, _, buf, begin in glued(texts):
         starts, symbols = lexicon.read(buf)
-        hits = np.flatnonzero((symbols == INSULT) | (symbols == THREAT))
+        hits = np.flatnonzero((symbols == SLUR) | (symbols == HARM))
         if not len(hits):
             continue
         ends = np.flatnonzero(_ENDS[buf])
@@ -195,12 +255,14 @@ def events_of(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
 
 @dataclass
 class Model:
+    """The words, a weight per label of the grammar, and the bias; an event weighs what its labels do together."""
+
     lexicon: Lexicon
     weights: np.ndarray
     bias: float
 
     def score(self, events: np.ndarray) -> np.ndarray:
-        z = self.bias + np.log1p(events.astype(np.float64)) @ self.weights
+        z = self.bias + np.log1p(events.astype(np.float64)) @ (_IN_EVENT @ self.weights)
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -253,21 +315,30 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> tuple[list[bytes],
 
 
 def fit(events: np.ndarray, toxic: np.ndarray, share: float) -> tuple[np.ndarray, float]:
-    """Weights and bias by Newton steps on the penalised likelihood; the penalty pulls towards the prior."""
-    x = np.hstack([np.log1p(events), np.ones((len(events), 1))])
-    prior = np.append(_PRIOR, _BIAS)
-    beta, ridge = prior.copy(), 1.0
+    """Weights of the labels and bias by Newton steps on the penalised likelihood; the penalty pulls towards the prior.
+
+    A label whose weight would change its sign weighs nothing, and the others are fitted again.
+    """
+    x = np.hstack([np.log1p(events) @ _IN_EVENT, np.ones((len(events), 1))])
+    prior, ridge = np.append(_PRIOR, _BIAS), 1.0
     sample = toxic.mean() if len(toxic) else 0.5
     weight = np.where(toxic == 1, share / max(sample, 1e-9), (1 - share) / max(1 - sample, 1e-9)) if 0 < sample < 1 else np.ones(len(toxic))
-    for _ in range(50):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (weight * (toxic - p)) - ridge * (beta - prior)
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
-        step = np.linalg.solve(hess, grad)
-        beta = beta + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return np.maximum(beta[:-1], 0.0), float(beta[-1])
+    free = np.ones(len(prior), dtype=bool)
+    while True:
+        beta = np.where(free, prior, 0.0)
+        for _ in range(50):
+            p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -30, 30)))
+            grad = (x.T @ (weight * (toxic - p)) - ridge * (beta - prior))[free]
+            hess = (x[:, free] * (weight * p * (1 - p))[:, None]).T @ x[:, free] + ridge * np.eye(int(free.sum()))
+            step = np.clip(np.linalg.solve(hess, grad), -2, 2)
+            beta[free] += step
+            if np.abs(step).max() < 1e-8:
+                break
+        wrong = free & (beta * prior < 0)
+        wrong[-1] = False
+        if not wrong.any():
+            return beta[:-1], float(beta[-1])
+        free &= ~wrong
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -278,7 +349,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
     """Learns from at most ``per_label`` labelled documents of either kind, none of them held out.
 
     The sample of ids is bounded by that parameter and therefore broadcast.
-    Labels other than 0 and 1 and ids with contradicting labels are left out.
+    Labels other than 0 and 1 and ids with contradicting labels are left out; of
+    several documents with one id the least text is learned from.
     """
     clean = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
     clean = clean.filter(~held_out()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
@@ -288,6 +360,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
         part = clean.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         pick = part if pick is None else pick.unionByName(part)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id")
+    text = text.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     insults, beginnings = learn_lexicon(text)
     lexicon = Lexicon([*(w.encode() for w in INSULTS.split()), *insults], beginnings)
     held = docs.sparkSession.sparkContext.broadcast(lexicon)

@@ -421,10 +421,30 @@ def test_viterbi_is_the_best_labelling():
 
 def test_clauses():
     s = lambda text: [toxicity._WORDS.index(w) for w in text.split()]
-    assert toxicity.clause_events(s("target other insult")) == ["insult+aimed"]
-    assert toxicity.clause_events(s("negation other insult")) == ["insult+negated"]
-    assert toxicity.clause_events(s("report target insult")) == ["insult+aimed+reported"]
-    assert toxicity.clause_events(s("negation other other other insult threat")) == ["insult", "threat"]
+    assert toxicity.clause_events(s("target other slur")) == [("insult", "aimed")]
+    assert toxicity.clause_events(s("slur other target")) == [("insult",), ("aimed",)]
+    assert toxicity.clause_events(s("negation other slur")) == [("insult", "negated")]
+    assert toxicity.clause_events(s("report target slur")) == [("insult", "aimed", "reported")]
+    assert toxicity.clause_events(s("negation other other other slur harm")) == [("insult",), ("harm",)]
+    assert toxicity.clause_events(s("target intent negation harm target")) == [("threat", "aimed", "negated")]
+    assert toxicity.clause_events(s("slur slur")) == [("insult",), ("insult", "repeat")]
+
+
+@given(st.lists(st.sampled_from(toxicity._WORDS), max_size=14))
+def test_composition_is_one_transducer_after_the_other(words):
+    outputs, labels = list(words), [()] * len(words)
+    for t in toxicity.transducers():
+        made = t.read(outputs)
+        outputs, labels = [m[0] for m in made], [had + m[1] for had, m in zip(labels, made, strict=True)]
+    assert toxicity.GRAMMAR.read(words) == list(zip(outputs, labels, strict=True))
+
+
+def test_what_a_clause_means_counts():
+    model = toxicity.Model(toxicity.Lexicon([w.encode() for w in toxicity.INSULTS.split()], []), toxicity._PRIOR, toxicity._BIAS)
+    score = lambda t: float(model.score(toxicity.events_of([t.encode()], model.lexicon))[0])
+    assert score("I will kill you") >= toxicity.DECIDE and score("we will kill you all and hurt your family") >= toxicity.DECIDE
+    assert score("I will not kill you") < 0.5 > score("they said he will kill you") and score("a plan to kill weeds") < 0.2
+    assert score("you idiot") > score("an idiot") > score("she said you are an idiot") > score("you are not an idiot")
 
 
 def test_toxicity(spark, make):
