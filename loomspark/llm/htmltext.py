@@ -2,16 +2,18 @@
 
 A page streams through the standard library's parser once.  Its events make
 lines (blocks of text) with the number of tags seen in each; the ratios are
-smoothed with a Gaussian and split into two clusters, and the container that
-holds most of the content cluster is the article.  Boilerplate regions (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments) are told by
-their elements and names while the events pass, and never become lines.
+smoothed with a Gaussian and split into two clusters, and the innermost box that
+holds most of the content cluster is the region, widened to the article or main
+element around it where there is one.  Elements and names that tell menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments lower the ratios of
+their lines, and such lines do not come out of the region.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,7 +30,9 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-_DROP = frozenset("aside button canvas dialog footer form head iframe math menu nav noscript object script search select style svg template textarea title".split())
+#: Elements whose text is never shown as text of the page, and those that hold boilerplate.
+_DROP = frozenset("button canvas head iframe math noscript object script select style svg template textarea title".split())
+_ASIDE = frozenset("aside dialog footer form menu nav search".split())
 _ENDS_P = _BLOCK - {"body", "html", "title", "option", "optgroup"}
 #: An element of the first kind closes open ones of the second, up to the third.
 _IMPLIED = {
@@ -44,27 +48,37 @@ _NAMES = frozenset(
 _HEADS = frozenset("header masthead topbar".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _WHOLE = frozenset("html body main article".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What the ratio of a line is multiplied with: where it is boilerplate by element or name.
+ASIDE = 0.1
+#: Part of the content cluster's text that the region holds at least.
+SHARE = 0.8
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
+_DROPPED, _BESIDE = 1, 2
+
+
 class Line:
-    """A block of text and what is known of it."""
+    """A block of text and what is known of it; ``box`` is the number of the innermost block element around it."""
 
-    __slots__ = ("parts", "tags", "linked", "path", "heading", "text", "ratio")
+    __slots__ = ("parts", "tags", "linked", "box", "heading", "aside", "text", "ratio")
 
-    def __init__(self, path: tuple[tuple[int, str], ...], heading: bool) -> None:
+    def __init__(self, box: int, heading: bool, aside: bool, tags: int) -> None:
         self.parts: list[str] = []
-        self.tags, self.linked, self.path, self.heading = 0, 0, path, heading
+        self.tags, self.linked, self.box, self.heading, self.aside = tags, 0, box, heading, aside
         self.text, self.ratio = "", 0.0
 
 
 class _Events(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # name, number, dropped
+        self.stack: list[tuple[str, int, int]] = []  # name, box, _DROPPED or _BESIDE or 0
+        self.boxes: list[tuple[int, str]] = [(-1, "")]  # the box around and the name
         self.lines: list[Line] = []
         self.line: Line | None = None
-        self.count = self.links = self.dropped = self.article = self.tags = 0
+        self.open: Counter[str] = Counter()
+        self.links = self.dropped = self.beside = self.article = self.headings = self.tags = 0
 
     def _break(self) -> None:
         if self.line is not None:
@@ -72,29 +86,34 @@ class _Events(HTMLParser):
             self.line = None
         self.tags = 0
 
-    def _unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _kind(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in _DROP:
-            return True
+            return _DROPPED
         if tag in _WHOLE:
-            return False
-        if tag == "header":
-            return not self.article
+            return 0
+        kind = _BESIDE if tag in _ASIDE or tag == "header" and not self.article else 0
         for key, value in attrs:
             if key in ("class", "id"):
                 words = {w.lower() for w in _SPLIT.split(value or "") if w}
                 if words & _NAMES or (words & _HEADS and not self.article):
-                    return True
+                    kind = _BESIDE
             elif key == "role" and (value or "").strip().lower() in _ROLES:
-                return True
+                kind = _BESIDE
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value or "", re.I)):
-                return True
-        return False
+                return _DROPPED
+        return kind
+
+    def _count(self, tag: str, kind: int, by: int) -> None:
+        self.dropped += by * (kind == _DROPPED)
+        self.beside += by * (kind == _BESIDE)
+        self.article += by * (tag in ("article", "main"))
+        self.links += by * (tag == "a")
+        self.open[tag] += by
+        self.headings += by * (tag in _HEADING)
 
     def _pop(self, at: int) -> None:
-        for name, _, dropped in reversed(self.stack[at:]):
-            self.dropped -= dropped
-            self.article -= name in ("article", "main")
-            self.links -= name == "a"
+        for name, _, kind in self.stack[at:]:
+            self._count(name, kind, -1)
         del self.stack[at:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -124,12 +143,13 @@ class _Events(HTMLParser):
             if tag == "br" and self.line is not None:
                 self.line.parts.append("\n")
             return
-        unwanted = self._unwanted(tag, attrs)
-        self.count += 1
-        self.stack.append((tag, self.count, unwanted))
-        self.dropped += unwanted
-        self.article += tag in ("article", "main")
-        self.links += tag == "a"
+        kind = self._kind(tag, attrs)
+        box = self.stack[-1][1] if self.stack else 0
+        if tag in _BLOCK:
+            self.boxes.append((box, tag))
+            box = len(self.boxes) - 1
+        self.stack.append((tag, box, kind))
+        self._count(tag, kind, 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash at the end says nothing in HTML
@@ -139,7 +159,7 @@ class _Events(HTMLParser):
             self._break()
         elif self.line is not None:
             self.line.tags += 1
-        for k in range(len(self.stack) - 1, -1, -1):
+        for k in range(len(self.stack) - 1, -1, -1) if self.open[tag] else ():
             if self.stack[k][0] == tag:
                 self._pop(k)
                 return
@@ -150,9 +170,7 @@ class _Events(HTMLParser):
         if self.dropped or (self.line is None and not data.strip()):
             return
         if self.line is None:
-            blocks = tuple((n, name) for name, n, _ in self.stack if name in _BLOCK)
-            self.line = Line(blocks, any(name[:1] == "h" and name[1:].isdigit() for _, name in blocks))
-            self.line.tags = self.tags
+            self.line = Line(self.stack[-1][1] if self.stack else 0, self.headings > 0, self.beside > 0, self.tags)
         self.line.parts.append(data)
         if self.links:
             self.line.linked += len(data)
@@ -161,8 +179,8 @@ class _Events(HTMLParser):
 _OPEN_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 
 
-def page_lines(html: str) -> list[Line]:
-    """Lines of a page outside boilerplate, in order."""
+def page_lines(html: str) -> tuple[list[Line], list[tuple[int, str]]]:
+    """Lines of a page, in order, and its boxes, each after the one around it."""
     parser = _Events()
     parser.feed(_OPEN_TAG.sub("", html))  # a tag cut off at the end is markup, not text
     parser.close()
@@ -171,9 +189,9 @@ def page_lines(html: str) -> list[Line]:
     for line in parser.lines:
         line.text = " ".join("".join(line.parts).split())
         if line.text:
-            line.ratio = len(line.text) / max(1, line.tags)
+            line.ratio = (len(line.text) - min(line.linked, len(line.text))) / max(1, line.tags) * (ASIDE if line.aside else 1.0)
             out.append(line)
-    return out
+    return out, parser.boxes
 
 
 _KERNEL = [math.exp(-0.5 * (k / SIGMA) ** 2) for k in range(-REACH, REACH + 1)]
@@ -208,40 +226,50 @@ def threshold(values: list[float]) -> float:
     return math.expm1((low + high) / 2) if high - low > math.log(2) else -1.0
 
 
+def _linked(line: Line) -> bool:
+    return 2 * line.linked > len(line.text)
+
+
+def region(lines: list[Line], boxes: list[tuple[int, str]], content: list[bool]) -> list[int]:
+    """The lines of the box that holds most of the content cluster."""
+    weight = [0] * len(boxes)
+    for x, good in zip(lines, content, strict=True):
+        weight[x.box] += len(x.text) * good
+    for n in range(len(boxes) - 1, 0, -1):
+        weight[boxes[n][0]] += weight[n]
+    chosen, depth = 0, [0] * len(boxes)
+    for n in range(1, len(boxes)):
+        depth[n] = depth[boxes[n][0]] + 1
+        if weight[n] >= SHARE * weight[0] and depth[n] > depth[chosen]:
+            chosen = n
+    box = chosen
+    while box > 0 and boxes[box][1] not in ("article", "main"):
+        box = boxes[box][0]
+    inner = [False] * len(boxes)
+    for n in range(len(boxes)):
+        inner[n] = n == (box or chosen) or (n > 0 and inner[boxes[n][0]])
+    inside = [k for k, x in enumerate(lines) if inner[x.box]]
+    if box:
+        return inside
+    # no element bounds the region: from its first content line, with the headings before it, to its last
+    good = [k for k in inside if content[k]]
+    first, last = good[0], good[-1]
+    while first > 0 and lines[first - 1].heading and not lines[first - 1].linked and not lines[first - 1].aside:
+        first -= 1
+    return [k for k in range(first, last + 1) if (inner[lines[k].box] or k < good[0]) and not _linked(lines[k])]
+
+
 def main_blocks(html: str | None) -> list[str]:
     """The blocks of the article of a page."""
-    lines = page_lines(html or "")
-    if not lines:
+    lines, boxes = page_lines(html or "")
+    if all(x.aside for x in lines):
         return []
     soft = smoothed([x.ratio for x in lines])
     cut = threshold(soft)
-    content = [v > cut and 2 * x.linked <= len(x.text) for v, x in zip(soft, lines, strict=True)]
+    content = [v > cut and not _linked(x) for v, x in zip(soft, lines, strict=True)]
     if not any(content):
-        content = [True] * len(lines)
-    weight: dict[int, int] = {}
-    marked: dict[int, str] = {}
-    for x, good in zip(lines, content, strict=True):
-        for n, name in x.path:
-            weight[n] = weight.get(n, 0) + (len(x.text) if good else 0)
-            if name in ("article", "main"):
-                marked[n] = name
-    articles = [n for n, name in marked.items() if name == "article"]
-    mains = [n for n, name in marked.items() if name == "main"]
-    for kind in (articles, mains):
-        if kind and max(weight[n] for n in kind) > 0:
-            # the largest; of nested ones with (nearly) the same text the inner
-            best = max(weight[n] for n in kind)
-            chosen = max(n for n in kind if weight[n] >= 0.9 * best)
-            return [x.text for x in lines if any(n == chosen for n, _ in x.path)]
-    total = sum(len(x.text) for x, good in zip(lines, content, strict=True) if good)
-    inner = [n for n in weight if weight[n] >= 0.8 * total]
-    chosen = max(inner) if inner else None
-    inside = [i for i, x in enumerate(lines) if chosen is None or any(n == chosen for n, _ in x.path)]
-    good = [i for i in inside if content[i]]
-    first, last = (good[0], good[-1]) if good else (inside[0], inside[-1])
-    while first > inside[0] and lines[first - 1].heading and not lines[first - 1].linked:
-        first -= 1
-    return [lines[i].text for i in inside if first <= i <= last and 2 * lines[i].linked <= len(lines[i].text)]
+        content = [not x.aside for x in lines]
+    return [lines[k].text for k in region(lines, boxes, content) if not lines[k].aside]
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

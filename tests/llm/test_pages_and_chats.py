@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import time
 import zipfile
 
 import pyarrow.fs as pafs
@@ -55,6 +56,31 @@ def test_main_blocks(html, want):
     assert htmltext.main_blocks(html) == want
 
 
+def _two_regions():
+    """A page without article, main or telling names: short tagged cells, prose, short tagged cells."""
+    cells = "".join(f"<div><b>Item</b> <i>{k}</i> <span>of</span> <em>stock</em></div>" for k in range(60))
+    return f"<body><div class=x1>{cells}</div><div class=x2>" + f"<p>{P}{P}</p>" * 6 + f"<p>Short.</p></div><div class=x3>{cells}</div></body>"
+
+
+def test_clusters_of_ratios_choose_the_region(monkeypatch):
+    want = [(P + P).strip()] * 6
+    assert htmltext.main_blocks(_two_regions())[:6] == want and "Item 3 of stock" not in htmltext.main_blocks(_two_regions())
+    smoothed = htmltext.smoothed
+    monkeypatch.setattr(htmltext, "smoothed", lambda v: smoothed([1.0] * len(v)))
+    assert "Item 3 of stock" in htmltext.main_blocks(_two_regions())
+
+
+def test_the_article_with_the_content_cluster_is_chosen():
+    teasers = "".join(f"<article><h3><a href=t>Teaser</a></h3><span>{k}</span> <b>more</b></article>" for k in range(30))
+    assert htmltext.main_blocks(f"<main><section>{teasers}</section></main><article><p>{P}{P}</p><p>{P}</p></article>") == [(P + P).strip(), P.strip()]
+
+
+def test_nested_boxes_cost_linear_time():
+    began = time.process_time()
+    assert len(htmltext.page_lines("<div>x" * 20_000 + "</b>" * 20_000)[0]) == 20_000
+    assert time.process_time() - began < 5
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None), (2, "v", "<article>" + f"<p>{P}" * 2000)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS lines")
