@@ -14,13 +14,14 @@ the driver is the single writer of a round.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls, values
+from ..sources.tables import written
 from . import stateful
 
 PENDING, PROCESSING, DONE, FAILED = range(4)
@@ -100,12 +101,24 @@ def refresh(requests: DataFrame, claimed: DataFrame, now: int) -> DataFrame:
     return applied(requests, hit.filter(lease_holds(now) & (F.col("ack_version") == F.col("version"))).withColumn("lease_time", F.lit(now).cast("long")))
 
 
+def ranked(rows: DataFrame, order: list[str], name: str, first: int) -> DataFrame:
+    """``rows`` with their place in an order, from ``first`` on, without a task that sees them all.
+
+    Rows are range-partitioned by the order and written; a partition's places follow
+    the number of rows in the partitions before it, of which there is one row each.
+    """
+    part = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("long") - 1
+    return part.join(F.broadcast(before), "_part").withColumn(name, F.lit(first).cast("long") + F.col("_before") + place).select(*dict.fromkeys([*rows.columns, name]))
+
+
 def _requeued(rows: DataFrame, next_sequence: int) -> DataFrame:
     """T4: back to pending at the end of the queue, in the old order."""
-    order = F.row_number().over(Window.orderBy("sequence", "id")).cast("long")
-    return rows.withColumns(
-        {"state": F.lit(PENDING).cast("tinyint"), "leased_by": F.lit(None).cast("string"), "lease_time": F.lit(None).cast("long"), "sequence": F.lit(next_sequence).cast("long") + order - 1}
-    )
+    back = rows.withColumns({"state": F.lit(PENDING).cast("tinyint"), "leased_by": F.lit(None).cast("string"), "lease_time": F.lit(None).cast("long")})
+    placed = ranked(back.withColumnRenamed("sequence", "_old"), ["_old", "id"], "sequence", next_sequence)
+    return placed.select(*rows.columns)
 
 
 def release(requests: DataFrame, claimed: DataFrame, next_sequence: int) -> DataFrame:
@@ -120,19 +133,36 @@ def fresh(settled: DataFrame, completions: DataFrame) -> DataFrame:
     return once.join(completions.select("id", "version"), ["id", "version"], "left_anti")
 
 
-def succeed(requests: DataFrame, settled: DataFrame) -> DataFrame:
-    hit = requests.join(settled.select("id", "version"), ["id", "version"], "left_semi").filter(F.col("state") == PROCESSING)
-    return applied(requests, hit.withColumns({"state": F.lit(DONE).cast("tinyint"), "leased_by": F.lit(None).cast("string"), "lease_time": F.lit(None).cast("long")}))
+def fenced(requests: DataFrame, settled: DataFrame, now: int, timeout: int = LEASE_MS) -> tuple[DataFrame, DataFrame]:
+    """Q5, Q6: the rows that settlements ``(id, version, worker)`` may settle, and the settlements that are refused.
+
+    A settlement counts only while its worker holds the lease of that version.
+    """
+    held = requests.filter(lease_holds(now, timeout)).select("id", "version", F.col("leased_by").alias("worker"))
+    keys = ["id", "version", "worker"]
+    good = settled.join(held, keys, "left_semi")
+    hit = requests.join(good.select("id", "version").distinct(), ["id", "version"], "left_semi").select(*requests.columns)
+    return hit, settled.join(held, keys, "left_anti").select(*settled.columns)
+
+
+def _free(state: int) -> dict[str, Column]:
+    return {"state": F.lit(state).cast("tinyint"), "leased_by": F.lit(None).cast("string"), "lease_time": F.lit(None).cast("long")}
 
 
-def fail(requests: DataFrame, settled: DataFrame, next_sequence: int) -> tuple[DataFrame, DataFrame]:
-    """One retry more each; below the maximum back into the queue, else failed. Also the new exclusions."""
-    hit = requests.join(settled.select("id", "version"), ["id", "version"], "left_semi").filter(F.col("state") == PROCESSING)
+def succeed(requests: DataFrame, settled: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """Q5: requests with the settled ones done, and the refused settlements."""
+    hit, refused = fenced(requests, settled, now)
+    return applied(requests, hit.withColumns(_free(DONE))), refused
+
+
+def fail(requests: DataFrame, settled: DataFrame, now: int, next_sequence: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One retry more each; below the maximum back into the queue, else failed. Also the new exclusions and the refused settlements."""
+    hit, refused = fenced(requests, settled, now)
     excluded = hit.select(F.col("id").alias("request_id"), F.col("retry_count").alias("position"), F.col("leased_by").alias("worker_id"))
     hit = hit.withColumn("retry_count", F.col("retry_count") + 1)
     again = _requeued(hit.filter(F.col("retry_count") < F.col("max_retry_count")), next_sequence)
-    over = hit.filter(F.col("retry_count") >= F.col("max_retry_count")).withColumns({"state": F.lit(FAILED).cast("tinyint"), "leased_by": F.lit(None).cast("string"), "lease_time": F.lit(None).cast("long")})
-    return applied(requests, again.unionByName(over)), excluded
+    over = hit.filter(F.col("retry_count") >= F.col("max_retry_count")).withColumns(_free(FAILED))
+    return applied(requests, again.unionByName(over)), excluded, refused
 
 
 def recover(requests: DataFrame, workers: DataFrame, worker: str, next_sequence: int) -> DataFrame:
@@ -177,12 +207,21 @@ def snapshot_hash(columns: list[str]) -> Column:
 
 
 def push(requests: DataFrame, incoming: DataFrame, identity: list[str]) -> DataFrame:
-    """Inserts rows by id; a replay of equal rows adds nothing, a row that differs under the same id fails the batch."""
-    new = incoming.withColumn("_hash", snapshot_hash(identity))
-    old = requests.select("id", snapshot_hash(identity).alias("_old"))
-    joined = new.join(old, "id", "left")
-    checked = joined.filter(F.when(F.col("_old").isNotNull() & (F.col("_old") != F.col("_hash")), F.raise_error(F.lit("a stored request differs")).cast("boolean")).otherwise(F.col("_old").isNull()))
-    return requests.unionByName(checked.dropDuplicates(["id"]).select(*requests.columns))
+    """Inserts rows by id; equal rows under one id count once, rows that differ fail the whole batch.
+
+    That holds for rows of the batch and for stored ones alike.
+    """
+    mark = snapshot_hash(identity)
+    whole = F.struct(*[F.col(c) for c in requests.columns])
+    new = incoming.withColumn("_hash", mark).groupBy("id").agg(F.min_by(whole, "_hash").alias("_row"), F.min("_hash").alias("_least"), F.max("_hash").alias("_most"))
+    joined = new.join(requests.select("id", mark.alias("_old")), "id", "left")
+
+    def refuse(message: str) -> Column:
+        return F.raise_error(F.lit(message)).cast("boolean")
+
+    differs = (F.col("_least") != F.col("_most")) | F.coalesce(F.col("_old") != F.col("_least"), F.lit(False))
+    checked = joined.filter(F.when(differs, refuse("a request differs from another of its id")).otherwise(F.col("_old").isNull()))
+    return requests.unionByName(checked.select("_row.*"))
 
 
 def with_ids(rows: DataFrame) -> DataFrame:
@@ -209,8 +248,8 @@ def count(rows: DataFrame) -> DataFrame:
     as done too, also if a filter stopped it, as long as it was admitted.
     """
     is_ = lambda o: F.count_if(F.col("outcome") == o)
-    other = F.count_if(~F.col("outcome").isin("done", "dedup", "validate", "download", "retry"))
-    done = F.count_if((F.col("outcome") == "done") | (F.col("admitted") & ~F.col("outcome").isin("done", "download", "retry")))
+    other = F.count_if(~F.col("outcome").isin("done", "dedup", "validate", "download", "retry", "failed"))
+    done = F.count_if((F.col("outcome") == "done") | (F.col("admitted") & ~F.col("outcome").isin("done", "download", "retry", "failed")))
     return rows.groupBy("trace_id", "name").agg(
         F.count_if(F.col("outcome") != "retry").alias("total"), done.alias("done"), other.alias("filter"), is_("dedup").alias("dedup"), is_("validate").alias("validate"), is_("download").alias("download")
     )
@@ -248,21 +287,13 @@ def exclusions(failed_workers: DataFrame) -> DataFrame:
 # -------------------------------------------------------------------------- fixpoint
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder of the session, read again; ends its lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/loomspark-shared"
-    path = f"{folder.rstrip('/')}/frontier/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crawl(seeds: DataFrame, step: Callable[[DataFrame], tuple[DataFrame, DataFrame]], allowed: list[str] | None = None, drop_query: list[str] | None = None, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
     """Rounds of a frontier until nothing new comes.
 
     ``step`` maps the admitted rows of a round to ``(requests, items)``.  New
     requests are checked (URL, domain), deduplicated by task, node and canonical
-    URL, first by sequence, against all earlier rounds (seeds pass unchecked), and
+    URL, first by sequence, against all earlier rounds (seeds pass unchecked, rows with
+    ``dont_filter`` neither ask nor leave a fingerprint), and
     form the next round.  Each round is a written table.  Returns all admitted
     requests and all items.
     """
@@ -274,9 +305,13 @@ def crawl(seeds: DataFrame, step: Callable[[DataFrame], tuple[DataFrame, DataFra
         found, made = step(now)
         items.append(written(made, "items"))
         new = found.withColumn("round", F.lit(k)).filter(urls.http_valid(F.col("url")) & urls.host_allowed(F.col("url"), allowed or []))
-        new = stateful.first_by(with_ids(new).withColumn("fingerprint", print_), ["fingerprint"], order)
-        for old in rounds[1:]:
-            new = new.join(old.select("fingerprint"), "fingerprint", "left_anti")
+        free = F.coalesce(F.col("dont_filter"), F.lit(False)) if "dont_filter" in new.columns else F.lit(False)
+        new = with_ids(new).withColumn("fingerprint", F.when(~free, print_))
+        asking, free_rows = new.filter("fingerprint IS NOT NULL"), new.filter("fingerprint IS NULL")
+        new = stateful.first_by(asking, ["fingerprint"], order)
+        if len(rounds) > 1:
+            new = new.join(reduce(DataFrame.unionByName, [r.select("fingerprint") for r in rounds[1:]]), "fingerprint", "left_anti")
+        new = new.select(*asking.columns).unionByName(free_rows)
         now = written(new.select(*rounds[0].columns), "round")
         if now.limit(1).isEmpty():
             break

@@ -411,7 +411,7 @@ def _claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settle_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q5: every third claimed row succeeds."""
     rows = _claimed(spark, sf_dir)
-    out = frontier.succeed(rows, rows.filter((F.col("state") == 1) & (F.col("id") % 3 == 0)).select("id", "version"))
+    out, _ = frontier.succeed(rows, rows.filter((F.col("state") == 1) & (F.col("id") % 3 == 0)).select("id", "version", F.lit("w1").alias("worker")), _NOW + 1)
     return out.groupBy("state").agg(F.count("*").alias("n"))
 
 
@@ -423,20 +423,23 @@ def settle_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.fresh(items, items.join(done, "id", "left_semi")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT id, CAST(1 AS INTEGER) AS retry_count, CAST(0 AS TINYINT) AS state, 1000000000 + rn - 1 AS sequence FROM {_CLAIMED}")
+_UNTOUCHED = f"UNION ALL SELECT id, CAST(0 AS INTEGER), CAST(0 AS TINYINT), sequence FROM {_QUEUE} q WHERE priority <> 5"
+
+
+@query(f"SELECT id, CAST(1 AS INTEGER) AS retry_count, CAST(0 AS TINYINT) AS state, 1000000000 + rn - 1 AS sequence FROM {_CLAIMED} {_UNTOUCHED}")
 def settle_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed rows return to the end of the queue, in their old order."""
     rows = _claimed(spark, sf_dir)
-    out, _ = frontier.fail(rows, rows.filter("state = 1").select("id", "version"), 1_000_000_000)
-    return out.filter("priority = 5").select("id", "retry_count", "state", "sequence")
+    out, _, _ = frontier.fail(rows, rows.filter("state = 1").select("id", "version", F.lit("w1").alias("worker")), _NOW + 1, 1_000_000_000)
+    return out.select("id", "retry_count", "state", "sequence")
 
 
-@query(f"SELECT id, CAST(CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS retry_count, CAST(0 AS TINYINT) AS state, 1000000000 + rn - 1 AS sequence FROM {_CLAIMED}")
+@query(f"SELECT id, CAST(CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS retry_count, CAST(0 AS TINYINT) AS state, 1000000000 + rn - 1 AS sequence FROM {_CLAIMED} {_UNTOUCHED}")
 def queue_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An offline worker's rows; accepted ones cost a retry."""
     workers = spark.createDataFrame([("w1", "t", 0, _NOW)], "worker_id string, token string, last_heartbeat long, offline_time long")
     out = frontier.recover(_claimed(spark, sf_dir), workers, "w1", 1_000_000_000)
-    return out.filter("priority = 5").select("id", "retry_count", "state", "sequence")
+    return out.select("id", "retry_count", "state", "sequence")
 
 
 @query("SELECT count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT o_orderkey AS id FROM orders UNION SELECT l_orderkey + 1000000000 FROM lineitem)")
@@ -449,6 +452,65 @@ def queue_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.push(old, old.unionByName(new), ["id", "priority"]).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
 
 
+def _settlements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Claimed rows, every fifth with a lease that has run out; settlements, every seventh by another worker and every eleventh of an old version."""
+    rows = _claimed(spark, sf_dir).withColumn("lease_time", F.when(F.col("id") % 5 == 0, F.col("lease_time") - frontier.LEASE_MS).otherwise(F.col("lease_time")))
+    by = F.when(F.col("id") % 7 == 0, "w2").otherwise("w1")
+    return rows, rows.filter("state = 1").select("id", F.when(F.col("id") % 11 == 0, F.col("version") - 1).otherwise(F.col("version")).alias("version"), by.alias("worker"))
+
+
+_FENCE = "o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0"
+
+
+@query(f"SELECT o_orderkey AS id, CAST(CASE WHEN o_orderpriority LIKE '5%' THEN CASE WHEN {_FENCE} THEN 2 ELSE 1 END ELSE 0 END AS TINYINT) AS state FROM orders")
+def settle_fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5, Q6: only the holder of a live lease of the version settles a row."""
+    return frontier.succeed(*_settlements(spark, sf_dir), _NOW + 1)[0].select("id", "state")
+
+
+@query(f"SELECT o_orderkey AS id FROM orders WHERE o_orderpriority LIKE '5%' AND NOT ({_FENCE})")
+def settle_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5, Q6: the settlements that are refused."""
+    return frontier.succeed(*_settlements(spark, sf_dir), _NOW + 1)[1].select("id")
+
+
+@query(f"SELECT o_orderkey AS id, {_NOW} + CASE WHEN o_orderkey % 2 = 0 THEN 500 ELSE 0 END AS lease_time FROM orders WHERE o_orderpriority LIKE '5%'")
+def lease_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4, Q6: leases of acknowledged rows move."""
+    rows = _claimed(spark, sf_dir)
+    return frontier.refresh(rows, rows.filter("state = 1").select("id", "version"), _NOW + 500).filter("state = 1").select("id", "lease_time")
+
+
+@query("SELECT o_orderkey AS id, c_name AS run FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
+def queue_join_open_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of the runs that are open."""
+    runs = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("trace_id"), F.col("c_name").alias("run"))
+    return orders_queue(spark, sf_dir).join(runs, "trace_id").select("id", "run")
+
+
+def _workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("worker_id"), F.col("s_nationkey").cast("string").alias("token"),
+        (F.col("s_suppkey") * 1000).cast("long").alias("last_heartbeat"), F.when(F.col("s_suppkey") % 9 == 0, F.lit(5).cast("long")).alias("offline_time"),
+    )
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS worker_id FROM supplier WHERE s_suppkey % 9 <> 0 AND 60000 - s_suppkey * 1000 < 30000")
+def workers_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R18."""
+    return frontier.online(_workers(spark, sf_dir), 60_000).select("worker_id")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS worker_id, CASE WHEN s_suppkey = 7 THEN 99 ELSE s_suppkey * 1000 END AS last_heartbeat FROM supplier")
+def worker_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the token's holder moves its heartbeat, and not once it is offline."""
+    workers = _workers(spark, sf_dir)
+    token = {r["worker_id"]: r["token"] for r in workers.filter(F.col("worker_id").isin("7", "9")).collect()}
+    out = frontier.heartbeat(workers, "7", token["7"], 99)
+    out = frontier.heartbeat(frontier.heartbeat(out, "9", token["9"], 99), "8", "no such token", 99)
+    return out.select("worker_id", "last_heartbeat")
+
+
 # ---------------------------------------------------------------------- counters
 
 
@@ -464,6 +526,86 @@ def counters_by_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.merge_stats(delta.limit(0), delta)
 
 
+@query("""SELECT trace_id, name, sum(total)::BIGINT AS total, sum(done)::BIGINT AS done, 0::BIGINT AS "filter", sum(dedup)::BIGINT AS dedup, 0::BIGINT AS "validate", 0::BIGINT AS download FROM (
+    SELECT user_id AS trace_id, event_type AS name, 1 AS total, CASE WHEN value >= 10 THEN 1 ELSE 0 END AS done, CASE WHEN value >= 10 THEN 0 ELSE 1 END AS dedup FROM events
+    UNION ALL SELECT DISTINCT user_id, event_type, 7, 5, 2 FROM events WHERE user_id % 2 = 0) GROUP BY ALL""")
+def stats_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a batch are added to those that are there."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), F.col("event_type").alias("name"), "value")
+    number = {"total": 7, "done": 5, "dedup": 2}
+    there = events.filter("trace_id % 2 = 0").select("trace_id", "name").distinct().select("trace_id", "name", *[F.lit(number.get(c, 0)).cast("long").alias(c) for c in frontier.COUNTERS])
+    rows = events.select("trace_id", "name", F.when(F.col("value") >= 10, "done").otherwise("dedup").alias("outcome"), F.lit(False).alias("admitted"))
+    return frontier.merge_stats(there, frontier.count(rows))
+
+
+_RUN_SQL = """WITH o AS (SELECT o_orderkey AS k, o_orderkey // 4 AS g FROM orders JOIN customer ON o_custkey = c_custkey), v AS (SELECT * FROM o WHERE k % 13 <> 0),
+    a AS (SELECT DISTINCT g FROM v WHERE k % 17 <> 0 UNION ALL SELECT g FROM v WHERE k % 17 = 0),
+    f AS (SELECT g, CASE WHEN g % 11 = 0 THEN 503 WHEN g % 7 = 0 THEN 404 ELSE 200 END AS status FROM a), i AS (SELECT g FROM f WHERE status = 200)
+    SELECT 'customer' AS name, count(*) AS total, count(*) AS done, 0 AS "filter", 0 AS dedup, 0 AS "validate", 0 AS download FROM customer
+    UNION ALL SELECT 'order', (SELECT count(*) FROM o), (SELECT count(*) FROM f WHERE status < 500), (SELECT count(*) FROM o WHERE k % 13 = 0) + (SELECT count(*) FROM f WHERE status = 404),
+        (SELECT count(*) FROM v) - (SELECT count(*) FROM a), 0, (SELECT count(*) FROM f WHERE status = 503)
+    UNION ALL SELECT 'items', count(*), count(DISTINCT g) FILTER (g % 5 <> 0), 0, count(*) - count(DISTINCT g), count(DISTINCT g) FILTER (g % 5 = 0), 0 FROM i"""
+
+
+def _order_run(spark: SparkSession, sf_dir: str):
+    """A run of the engine in code mode: customers lead to their orders, four orders to a page; some pages are missing or down."""
+    from ..spider import Engine, Settings, Spider, Spec, node
+
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    empty = F.lit("{}")
+
+    class Orders(Spider):
+        allowed_domains = ["c.example.com"]
+
+        @node("customer")
+        def customer(self, rows):
+            found = rows.select("task_id", "trace_id", F.col("request_id").alias("parent"), F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("c")).join(orders, "c")
+            host = F.when(F.col("k") % 13 == 0, "http://other.org/o/").otherwise("http://c.example.com/o/")
+            return found.select(
+                "task_id", "trace_id", "parent", F.lit(0).alias("edge"), F.col("k").cast("int").alias("idx"), F.lit("order").alias("node"), F.concat(host, F.floor(F.col("k") / 4)).alias("url"),
+                empty.alias("vals"), F.lit(0).alias("priority"), empty.alias("transport"), (F.col("k") % 17 == 0).alias("dont_filter"),
+            ), None
+
+        @node("order")
+        def order(self, rows):
+            g = F.regexp_extract("url", "([0-9]+)$", 1).cast("long")
+            return None, rows.select(
+                F.sha2("request_id", 256).alias("id"), "task_id", "trace_id", "request_id", "node", F.lit(0).alias("edge"), F.lit(0).alias("idx"), F.lit("").alias("fn"),
+                F.to_json(F.struct(g.alias("g"), (g % 5).alias("m"))).alias("data"),
+            )
+
+    def fetch(rows):
+        g = F.regexp_extract("url", "([0-9]+)$", 1).cast("long")
+        status = F.when(F.col("node") == "customer", 200).when(g % 11 == 0, 503).when(g % 7 == 0, 404).otherwise(200)
+        return rows.select(F.col("id").alias("request_id"), "task_id", "trace_id", "node", "url", status.alias("status"), F.lit("").alias("body"), "vals")
+
+    seeds = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"), F.lit("t").alias("task_id"), F.lit("run").alias("trace_id"), F.lit("customer").alias("node"),
+        F.concat(F.lit("http://c.example.com/c/"), "c_custkey").alias("url"), empty.alias("vals"), F.lit(0).alias("priority"), empty.alias("transport"), F.lit("run").alias("parent"), F.lit(-1).alias("edge"), F.lit(0).alias("idx"),
+    )
+    # items whose m is 0 are refused by a validator in front of the store
+    validator = Spec("before_item", "validate", lambda d: (d.filter("get_json_object(data, '$.m') <> '0'"), d.filter("get_json_object(data, '$.m') = '0'")))
+    unique = Spec("before_item", "dedup", lambda d: _first_item(d), order=50)
+    return Engine(None, fetch, spider=Orders(), middleware=(validator, unique), settings=Settings(attempts=1, interval_ms=10)).crawl(seeds)
+
+
+def _first_item(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    kept = frontier.written(stateful.first_by(items.withColumn("_g", F.get_json_object("data", "$.g")), ["_g"], F.col("id")).drop("_g"), "unique")
+    return kept, items.join(kept.select("id"), "id", "left_anti").select(*items.columns)
+
+
+@query(_RUN_SQL)
+def engine_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a whole run: admission, retries, status, handlers, item middleware."""
+    return _order_run(spark, sf_dir).stats.drop("trace_id")
+
+
+@query("""SELECT DISTINCT g FROM (SELECT o_orderkey // 4 AS g FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 13 <> 0) WHERE g % 11 <> 0 AND g % 7 <> 0 AND g % 5 <> 0""")
+def engine_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H8: the valid items of the same run."""
+    return _order_run(spark, sf_dir).items.select(F.get_json_object("data", "$.g").cast("long").alias("g"))
+
+
 @query("SELECT l_orderkey AS id, CAST(max(l_linenumber) AS INTEGER) AS version FROM lineitem GROUP BY l_orderkey")
 def latest_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("version"))

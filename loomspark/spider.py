@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, fields, is_dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators import extract, frontier, validate
+from .functions import urls
+from .operators import extract, frontier, stateful, validate
 from .plans.config import Config
 from .plans.rules import AiProvider
 
@@ -136,21 +138,204 @@ def schema_of(item: type) -> T.StructType:
     return T.StructType([T.StructField(n, _SQL.get(t, T.StringType())) for n, t in hints.items()])
 
 
-class Engine:
-    """H8: rules over captured responses; scheduler, downloader, store and AI are what is passed in."""
+@dataclass(frozen=True)
+class Settings:
+    """How a run deduplicates, retries and paces its requests.
+
+    ``ttl_ms``: how long a fingerprint is held (-1 for ever, 0 not at all); rows with
+    ``dont_filter`` neither ask nor leave one.  ``backoff_ms``, ``attempts``: the tries after the
+    first.  ``interval_ms``: time between two requests to a host.  ``item_keys``: JSON paths by
+    whose values items are deduplicated.  ``round_ms``: what the clock shows in a round.
+    """
+
+    ttl_ms: int = stateful.PERMANENT
+    drop_query: tuple[str, ...] = ()
+    backoff_ms: tuple[int, ...] = (1000,)
+    attempts: int = 0
+    interval_ms: int = 0
+    item_keys: tuple[str, ...] = ()
+    round_ms: Callable[[int], int] = lambda k: 1000 * k
+
+
+@dataclass(frozen=True)
+class Run:
+    """What a run leaves: admitted requests (with ``slot_ms``), valid items, rejected ones, and six counters a node, items under ``items``."""
+
+    requests: DataFrame
+    items: DataFrame
+    rejected: DataFrame
+    stats: DataFrame
+
 
-    def __init__(self, config: Config, fetch: Callable[[DataFrame], DataFrame], ai: AiProvider | None = None, store: Callable[[DataFrame], None] | None = None) -> None:
-        self.config, self.fetch, self.ai, self.store = config, fetch, ai, store
+#: Name that the counters of items stand under; no node may have it.
+ITEMS = "items"
 
-    def step(self, frontier_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        responses = self.fetch(frontier_rows).filter(extract.response_kept(F.col("status")))
-        emitted = frontier.written(extract.run_all(responses, self.config, self.ai), "emitted")
-        return extract.emitted_requests(emitted), extract.emitted_items(emitted)
 
-    def run(self, seeds: DataFrame, drop_query: list[str] | None = None, max_rounds: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+class Engine:
+    """H8: the run loop over captured responses; downloader, rules or spider, AI, store and middleware are what is passed in.
+
+    A round takes new requests through address and domain checks, ``before_scheduler``
+    middleware, deduplication and ``after_scheduler``; paces, fetches and retries them;
+    drops responses by status; and hands the others to the rules or the spider's
+    handlers.  Their requests are the next round, until none is admitted.  Items go
+    through item functions, ``before_item`` middleware, deduplication and the schema.
+    Every table that is read twice is written to the shared folder first.
+    """
+
+    def __init__(
+        self, config: Config | None, fetch: Callable[[DataFrame], DataFrame], ai: AiProvider | None = None, store: Callable[[DataFrame], None] | None = None,
+        spider: Spider | None = None, middleware: tuple[Spec, ...] = (), settings: Settings | None = None,
+    ) -> None:
+        if config is None and spider is None:
+            raise ValueError("an engine needs rules or a spider")
+        self.config, self.fetch, self.ai, self.store, self.spider = config, fetch, ai, store, spider
+        self.middleware, self.settings = list(middleware), settings or Settings()
+        self.domains = list(config.allowed_domains if config is not None else spider.allowed_domains)
+
+    def run(self, seeds: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Admitted requests, valid items and rejected items of a run."""
-        requests, items = frontier.crawl(seeds, self.step, list(self.config.allowed_domains), drop_query, max_rounds)
-        good, bad = validate.split_items(items, self.config.schema or {})
+        out = self.crawl(seeds, max_rounds=max_rounds)
+        return out.requests, out.items, out.rejected
+
+    def crawl(self, seeds: DataFrame, stats: DataFrame | None = None, max_rounds: int = 100) -> Run:
+        """A whole run; ``stats`` are counters so far, to which the run's are added."""
+        flagged = seeds if "dont_filter" in seeds.columns else seeds.withColumn("dont_filter", F.lit(False))
+        now = frontier.written(self._paced(flagged.withColumns({"round": F.lit(0), "fingerprint": F.lit(None).cast("string"), "until_ms": F.lit(None).cast("long")}), 0), "round")
+        rounds, items, outcomes = [now], [], []
+        for k in range(1, max_rounds + 1):
+            found, made, ended = self._round(now)
+            items.append(made)
+            outcomes.append(ended)
+            admitted, skipped = self._admit(found, rounds, k)
+            outcomes.append(skipped)
+            now = frontier.written(self._paced(admitted, k).select(*rounds[0].columns), "round")
+            if now.limit(1).isEmpty():
+                break
+            rounds.append(now)
+        else:
+            raise RuntimeError(f"the frontier did not settle in {max_rounds} rounds")
+        good, bad, ended = self._items(reduce(DataFrame.unionByName, items))
+        counted = frontier.count(reduce(DataFrame.unionByName, [*outcomes, ended]))
+        total = frontier.written(counted if stats is None else frontier.merge_stats(stats, counted), "stats")
+        self._hook(total, "on_close")
+        return Run(reduce(DataFrame.unionByName, rounds), good, bad, total)
+
+    # ------------------------------------------------------------------ requests
+
+    def _hook(self, rows: DataFrame, hook: str, admitted: bool = False, name: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """Rows that pass a hook, and the outcomes of those that its middleware skips."""
+        if not resolve(self.middleware, hook):
+            return rows, None
+        kept, skipped = apply(rows, self.middleware, hook)
+        return kept, None if skipped is None else _outcomes(skipped, skipped["outcome"], admitted, name)
+
+    def _paced(self, rows: DataFrame, k: int) -> DataFrame:
+        """L1: when each request may start."""
+        at = rows.withColumn("arrival_ms", F.lit(self.settings.round_ms(k)).cast("long"))
+        if not self.settings.interval_ms:
+            return at.withColumnRenamed("arrival_ms", "slot_ms")
+        at = at.withColumn("_host", urls.host_of(F.col("url")))
+        return stateful.rate_limit(at, ["_host"], "arrival_ms", ["id"], self.settings.interval_ms).withColumnRenamed("slot", "slot_ms").drop("_host", "arrival_ms")
+
+    def _admit(self, found: DataFrame, rounds: list[DataFrame], k: int) -> tuple[DataFrame, DataFrame]:
+        """New requests that may run, and the outcomes of the others."""
+        s, time = self.settings, self.settings.round_ms(k)
+        print_ = F.sha2(F.concat_ws("\n", "task_id", "node", urls.canonical_column(F.col("url"), list(s.drop_query))), 256)
+        rows = frontier.with_ids(found)
+        if "dont_filter" not in rows.columns:
+            rows = rows.withColumn("dont_filter", F.coalesce(F.get_json_object("transport", "$.dont_filter") == "true", F.lit(False)))
+        held = F.lit((1 << 63) - 1 if s.ttl_ms < 0 else time + s.ttl_ms)
+        stored = ~F.col("dont_filter") & F.lit(s.ttl_ms != stateful.DISABLED)
+        rows = rows.withColumns({"round": F.lit(k), "fingerprint": F.when(stored, print_), "until_ms": F.when(stored, held.cast("long"))})
+        rows = frontier.written(rows, "found")
+        sound = F.coalesce(urls.http_valid(F.col("url")) & urls.host_allowed(F.col("url"), self.domains), F.lit(False))
+        outcomes = [_outcomes(rows.filter(~sound), F.lit("filter"))]
+        live, skipped = self._hook(rows.filter(sound), "before_scheduler")
+        outcomes += [] if skipped is None else [skipped]
+        asking, free = live.filter("fingerprint IS NOT NULL"), live.filter("fingerprint IS NULL")
+        first = stateful.first_by(asking, ["fingerprint"], F.struct("parent", "edge", "idx", "id"))
+        known = reduce(DataFrame.unionByName, [r.filter(F.col("until_ms") > time).select("fingerprint") for r in rounds])
+        admitted = frontier.written(first.join(known, "fingerprint", "left_anti").select(*live.columns).unionByName(free), "admitted")
+        outcomes.append(_outcomes(asking.join(admitted.select("id"), "id", "left_anti"), F.lit("dedup")))
+        admitted, skipped = self._hook(admitted, "after_scheduler", True)
+        outcomes += [] if skipped is None else [skipped]
+        return admitted, reduce(DataFrame.unionByName, outcomes)
+
+    def _fetched(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Responses, and the requests whose tries are used up; the tries are those of the settings."""
+        s, left, done = self.settings, rows, []
+        for attempt in range(s.attempts + 1):
+            wait = sum(s.backoff_ms[min(k, len(s.backoff_ms) - 1)] for k in range(attempt))
+            got = frontier.written(self.fetch(left.withColumns({"attempt": F.lit(attempt), "slot_ms": F.col("slot_ms") + wait})), "responses")
+            bad = F.coalesce((F.col("status") >= 500) | F.col("status").isin(0, 408, 429), F.lit(True))
+            done.append(got.filter(~bad))
+            failed = got.filter(bad)
+            left = left.join(failed.select(F.col("request_id").alias("id")).distinct(), "id", "left_semi").select(*rows.columns)
+            if attempt < s.attempts and failed.limit(1).isEmpty():
+                break
+        return reduce(DataFrame.unionByName, done), failed
+
+    def _round(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What the admitted requests of a round emit, and how they end."""
+        outcomes: list[DataFrame] = []
+
+        def passed(table: DataFrame, hook: str) -> DataFrame:
+            kept, skipped = self._hook(table, hook, True)
+            outcomes.extend([] if skipped is None else [skipped])
+            return kept
+
+        responses, failed = self._fetched(passed(rows, "before_download"))
+        self._hook(failed, "on_error")
+        outcomes.append(_outcomes(failed, F.lit("download"), True))
+        responses = passed(responses, "after_download")
+        outcomes.append(_outcomes(responses.filter(~extract.response_kept(F.col("status"))), F.lit("filter"), True))
+        responses = passed(responses.filter(extract.response_kept(F.col("status"))), "before_parse")
+        if self.spider is None:
+            emitted = frontier.written(extract.run_all(responses, self.config, self.ai), "emitted")
+            broken = emitted.filter("error IS NOT NULL")
+            self._hook(broken, "on_error")
+            outcomes.append(_outcomes(broken, F.lit("failed"), True))
+            sound = passed(emitted.filter("error IS NULL"), "after_parse")
+            outcomes.append(_outcomes(sound, F.lit("done"), True))
+            return extract.emitted_requests(sound), extract.emitted_items(sound), reduce(DataFrame.unionByName, outcomes)
+        parsed = frontier.written(responses, "parsed")
+        requests, items = dispatch(parsed, self.spider)
+        outcomes.append(_outcomes(passed(parsed, "after_parse"), F.lit("done"), True))
+        requests = rows.limit(0).drop("round", "fingerprint", "until_ms", "slot_ms", "id", "dont_filter") if requests is None else requests
+        items = self._none(rows) if items is None else items
+        return frontier.written(requests, "requests"), frontier.written(items, "items"), reduce(DataFrame.unionByName, outcomes)
+
+    # --------------------------------------------------------------------- items
+
+    @staticmethod
+    def _none(rows: DataFrame) -> DataFrame:
+        return rows.sparkSession.createDataFrame([], "id string, task_id string, trace_id string, request_id string, node string, edge int, idx int, fn string, data string")
+
+    def _items(self, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Valid items, rejected ones and outcomes under ``items``."""
+        outcomes: list[DataFrame] = []
+        if self.spider is not None:
+            functions = self.spider.item_functions()
+            named = [n for n in functions if n != "item"]
+            parts = [functions[n](items.filter(F.col("fn") == n)) for n in named]
+            items = reduce(DataFrame.unionByName, [functions["item"](items.filter(~F.coalesce(F.col("fn").isin(*named), F.lit(False)) if named else F.lit(True))), *parts])
+        items = frontier.written(items, "items")
+        live, skipped = self._hook(items, "before_item", name=F.lit(ITEMS))
+        outcomes += [] if skipped is None else [skipped]
+        if self.settings.item_keys:
+            key = stateful.fingerprint(*[F.get_json_object("data", p) for p in self.settings.item_keys])
+            every = live.withColumn("_key", key)
+            live = frontier.written(stateful.first_by(every, ["_key"], F.struct("request_id", "edge", "idx", "id")), "unique")
+            outcomes.append(_outcomes(every.join(live.select("id", "_key"), ["id", "_key"], "left_anti"), F.lit("dedup"), name=F.lit(ITEMS)))
+            live = live.drop("_key")
+        schema = self.config.schema if self.config is not None else None
+        good, bad = validate.split_items(live, schema or {})
+        outcomes += [_outcomes(bad, F.lit("validate"), name=F.lit(ITEMS)), _outcomes(good, F.lit("done"), True, F.lit(ITEMS))]
         if self.store is not None:
             self.store(good)
-        return requests, good, bad
+        self._hook(good, "after_item")
+        return good, bad, reduce(DataFrame.unionByName, outcomes)
+
+
+def _outcomes(rows: DataFrame, outcome: Column, admitted: bool = False, name: Column | None = None) -> DataFrame:
+    return rows.select("trace_id", (F.col("node") if name is None else name).alias("name"), outcome.alias("outcome"), F.lit(admitted).alias("admitted"))

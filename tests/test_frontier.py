@@ -5,7 +5,7 @@ from loomspark.functions.values import dumps
 from loomspark.operators import extract, frontier, stateful, validate
 from loomspark.plans.config import Config
 from loomspark.sources import readers
-from loomspark.spider import Engine, Spec, Spider, apply, dispatch, node, resolve
+from loomspark.spider import Engine, Settings, Spec, Spider, apply, dispatch, node, resolve
 from loomspark.streaming import streams
 
 REQ = "id string, mode string, priority int, sequence long, next_time long, state tinyint, version long, leased_by string, lease_time long, retry_count int, max_retry_count int, ack_version long"
@@ -36,12 +36,17 @@ def test_settlement(spark, some):
     took = frontier.claim(some, none, "w", ["http"], 2, 50)
     now = frontier.applied(some, took)
     assert {r["id"]: r["state"] for r in now.collect()} == {"a": 0, "b": 1, "c": 0, "d": 1, "e": 0}
-    done = frontier.succeed(now, spark.createDataFrame([("b", 1), ("d", 9)], "id string, version long"))
-    assert {r["id"]: r["state"] for r in done.filter("id IN ('b', 'd')").collect()} == {"b": 2, "d": 1}
-    once, out = frontier.fail(now, took.filter("id = 'd'").select("id", "version"), 100)
+    done, refused = frontier.succeed(now, spark.createDataFrame([("b", 1, "w"), ("d", 9, "w")], "id string, version long, worker string"), 60)
+    assert {r["id"]: r["state"] for r in done.filter("id IN ('b', 'd')").collect()} == {"b": 2, "d": 1} and ids(refused) == ["d"]
+    mine = took.select("id", "version", F.col("leased_by").alias("worker"))
+    late, refused = frontier.succeed(now, mine, 50 + frontier.LEASE_MS)
+    assert late.filter("state = 2").isEmpty() and sorted(ids(refused)) == ["b", "d"]
+    _, refused = frontier.succeed(now, mine.withColumn("worker", F.lit("other")), 60)
+    assert sorted(ids(refused)) == ["b", "d"]
+    once, out, _ = frontier.fail(now, mine.filter("id = 'd'"), 60, 100)
     d = once.filter("id = 'd'").first()
     assert (d["state"], d["retry_count"], d["sequence"]) == (0, 1, 100) and out.collect() == [("d", 0, "w")]
-    spent, _ = frontier.fail(now.withColumn("retry_count", F.lit(1)), took.select("id", "version"), 100)
+    spent, _, _ = frontier.fail(now.withColumn("retry_count", F.lit(1)), mine, 60, 100)
     assert {r["state"] for r in spent.filter("id IN ('b', 'd')").collect()} == {3}
     back = frontier.release(now, took.select("id", "version"), 100)
     assert [(r["id"], r["retry_count"]) for r in back.filter("sequence >= 100").orderBy("sequence").collect()] == [("b", 0), ("d", 0)]
@@ -56,6 +61,14 @@ def test_push_is_idempotent_and_checks(spark, some):
     assert sorted(ids(frontier.push(some, new, ["id", "priority"]))) == ["a", "b", "c", "d", "e", "z"]
     with pytest.raises(Exception, match="differs"):
         frontier.push(some, queue(spark, [("a", "http", 2, 1, 0)]), ["id", "priority"]).collect()
+    with pytest.raises(Exception, match="differs"):
+        frontier.push(some, queue(spark, [("z", "http", 2, 1, 0), ("z", "http", 3, 1, 0)]), ["id", "priority"]).collect()
+
+
+def test_ranked_has_no_gaps(spark):
+    rows = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("s"), F.col("id").cast("string").alias("id"))
+    got = frontier.ranked(rows, ["s", "id"], "place", 5).collect()
+    assert [r["place"] for r in sorted(got, key=lambda r: (r["s"], r["id"]))] == list(range(5, 1005))
 
 
 def test_workers(spark):
@@ -103,6 +116,36 @@ def test_engine_crawls_to_a_fixpoint(spark):
     assert sorted(r["item"]["t"] for r in good.collect()) == ["A", "B"] and bad.count() == 2
 
 
+def test_engine_outcomes(spark):
+    config = Config.from_yaml(CRAWL)
+    captured = spark.createDataFrame([(u, 200, b) for u, b in SITE.items()], "url string, status int, body string")
+    tries = []
+
+    def fetch(rows):
+        tries.append(rows.select("attempt").first())
+        got = extract.fetch(rows, captured)
+        return got.withColumn("status", F.when(F.col("url").endswith("/b"), 503).otherwise(F.col("status")))
+
+    closed, stored = [], []
+    skip = Spec("before_scheduler", "own", lambda d: (d.filter("NOT url LIKE '%/a'"), d.filter("url LIKE '%/a'")))
+    close = Spec("on_close", "tell", lambda d: (closed.append(d.count()), (d, None))[1])
+    engine = Engine(config, fetch, store=lambda d: stored.append(d.count()), middleware=(close,), settings=Settings(attempts=2, backoff_ms=(5,)))
+    run = engine.crawl(readers.seeds(spark, config, "task", "run"))
+    stats = {r["name"]: r.asDict() for r in run.stats.collect()}
+    # the seed and /a end well, /b is down after two more tries; one link leaves the domain, one leads to /b again
+    page = stats["page"]
+    assert (page["done"], page["download"], page["filter"], page["validate"], page["dedup"]) == (2, 1, 1, 0, 1) and page["total"] == page["done"] + page["download"] + page["filter"] + page["dedup"]
+    assert stats["items"]["total"] == 2 and stats["items"]["done"] == 1 and stats["items"]["validate"] == 1
+    assert closed == [2] and stored == [1] and run.items.count() == 1
+    again = engine.crawl(readers.seeds(spark, config, "task", "run"), run.stats)
+    assert {r["name"]: r["total"] for r in again.stats.collect()} == {n: 2 * r["total"] for n, r in stats.items()}
+    other = Engine(config, fetch, middleware=(skip,)).crawl(readers.seeds(spark, config, "task", "run"))
+    assert {r["name"]: r["filter"] for r in other.stats.collect()}["page"] == 2
+    free = Engine(config, fetch, settings=Settings(ttl_ms=0))
+    with pytest.raises(RuntimeError, match="settle"):
+        free.crawl(readers.seeds(spark, config, "task", "run"), max_rounds=2)
+
+
 def test_code_mode(spark):
     class S(Spider):
         @node("detail")
