@@ -314,18 +314,21 @@ def _related(e: Element, link: str) -> Iterator[Element]:
         yield from before[-1:] if link == "+" else reversed(before)
 
 
-def chain_matches(chain: Chain, e: Element, k: int | None = None) -> bool:
+def chain_matches(chain: Chain, e: Element, k: int | None = None, known: dict[tuple[int, int], bool] | None = None) -> bool:
+    """Whether an element matches a chain up to compound ``k``; ``known`` holds what was found for others of the page."""
     compounds, links = chain
     k = len(compounds) - 1 if k is None else k
-    if not all(s.matches(e) for s in compounds[k]):
-        return False
-    return k == 0 or any(chain_matches(chain, x, k - 1) for x in _related(e, links[k - 1]))
+    known = {} if known is None else known
+    if (e.order, k) not in known:
+        own = all(s.matches(e) for s in compounds[k])
+        known[e.order, k] = own and (k == 0 or any(chain_matches(chain, x, k - 1, known) for x in _related(e, links[k - 1])))
+    return known[e.order, k]
 
 
 def select(root: Element, selector: str) -> list[Element]:
     """Matching elements in document order."""
-    chains = compile_selector(selector)
-    return [e for e in root.descendants() if any(chain_matches(c, e) for c in chains)]
+    chains = [(c, {}) for c in compile_selector(selector)]
+    return [e for e in root.descendants() if any(chain_matches(c, e, None, known) for c, known in chains)]
 
 
 # ------------------------------------------------------------------ output suffixes

@@ -1,9 +1,10 @@
 """Fuzzy recovery of CSS selectors whose page has changed.
 
 Every element is scored against the selector: points earned over points asked,
-one per constraint and one per combinator.  All elements at the highest score
-are returned if it reaches the minimum.  Scores are memoised by element and
-compound, so work is bounded by their product.
+one per constraint (``*`` asks for nothing) and one per combinator.  All elements at
+the highest score are returned if it reaches the minimum.  Scores, and the best
+scores above and before an element, are memoised by element and compound, so work
+is bounded by their product.
 """
 
 from __future__ import annotations
@@ -44,43 +45,45 @@ def _points(e: Element, s: Simple) -> float:
 
 class _Scorer:
     def __init__(self, chain: Chain) -> None:
-        self.compounds, self.links = chain
-        self.own: dict[tuple[int, int], float] = {}
+        self.compounds, self.links = [[s for s in c if s.kind != "tag" or s.name != "*"] for c in chain[0]], chain[1]
         self.whole: dict[tuple[int, int], float] = {}
+        self.best: dict[tuple[int, int], float | None] = {}
         #: Points that the compounds up to k ask for.
         self.asked = [0.0]
         for k, c in enumerate(self.compounds):
             self.asked.append(self.asked[-1] + len(c) + (k > 0))
 
-    def _own(self, e: Element, k: int) -> float:
-        key = (e.order, k)
-        if key not in self.own:
-            self.own[key] = sum(_points(e, s) for s in self.compounds[k])
-        return self.own[key]
-
     def _left(self, e: Element, k: int) -> float | None:
         """Best points of compounds up to ``k`` on the left side of ``e``; the nearest element unless another is strictly better."""
         link = self.links[k]
-        if link in (" ", ">"):
-            x, best = e.parent, None
-            while x is not None and x.parent is not None:
-                p = self.earned(x, k)
-                best = p if best is None or p > best + EPSILON else best
-                if link == ">":
-                    break
-                x = x.parent
-            return best
-        before = e.parent.elements[: e.index] if e.parent is not None else []
-        best = None
-        for x in before[-1:] if link == "+" else reversed(before):
-            p = self.earned(x, k)
-            best = p if best is None or p > best + EPSILON else best
-        return best
+        up = link in (" ", ">")
+
+        def nearest(x: Element) -> Element | None:
+            if up:
+                return x.parent if x.parent is not None and x.parent.parent is not None else None
+            return x.parent.elements[x.index - 1] if x.parent is not None and x.index else None
+
+        if link in (">", "+"):
+            x = nearest(e)
+            return None if x is None else self.earned(x, k)
+        # walk to the first element whose best is known, and fill in the way back
+        way, x = [], e
+        while x is not None and (x.order, k) not in self.best:
+            way.append(x)
+            x = nearest(x)
+        for x in reversed(way):
+            near = nearest(x)
+            if near is None:
+                self.best[x.order, k] = None
+                continue
+            own, far = self.earned(near, k), self.best[near.order, k]
+            self.best[x.order, k] = far if far is not None and far > own + EPSILON else own
+        return self.best[e.order, k]
 
     def earned(self, e: Element, k: int) -> float:
         key = (e.order, k)
         if key not in self.whole:
-            p = self._own(e, k)
+            p = sum(_points(e, s) for s in self.compounds[k])
             if k:
                 left = self._left(e, k - 1)
                 p += 0.0 if left is None else left + 1.0

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import replace
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from typing import Any
 
 from . import dom, urls
@@ -24,78 +25,85 @@ _TEXT = {k: re.compile(rf"""https?://[^\s"'<>\\)]+?\.(?:{"|".join(e)})(?:\?[^\s"
 FIELDS = ("name", "url", "src", "width", "height", "size", "ext", "alt")
 
 
+@dataclass(frozen=True)
+class Mention:
+    """One extracted value: its attributes, its texts (markup first) and the object's plain facts."""
+
+    attributes: dict[str, Any]
+    texts: tuple[str, ...]
+    facts: dict[str, Any]
+
+    @classmethod
+    def of(cls, value: str | dict) -> Mention:
+        if isinstance(value, str):
+            return cls({}, (value,), {})
+        nested = value.get("attrs")
+        own = nested if isinstance(nested, dict) else value
+        known = {**value, **own}
+        facts = {"name": _string(value.get("name")), **{k: _count(known.get(k)) for k in ("width", "height", "size")}}
+        facts["alt"] = _string(next((d[k] for d, k in ((own, "alt"), (own, "title"), (value, "alt")) if k in d), None))
+        return cls(own, tuple(value[k] for k in ("html", "text") if isinstance(value.get(k), str)), facts)
+
+    def offers(self, kind: str) -> Iterator[list[str]]:
+        """Lists of addresses, the most telling first; a list that follows matters only if all before it gave no object."""
+        given = ((k, self.attributes[k]) for k in _ATTRIBUTES[kind] if isinstance(self.attributes.get(k), str))
+        chosen = next((a for a in ([x.split()[0] for x in v.split(",") if x.strip()] if k == "srcset" else [v] for k, v in given if k == "srcset" or v.strip())), None)
+        if chosen:
+            yield chosen
+            return
+        if kind != "image" and "<" in "".join(self.texts[:1]):
+            yield [e.attrs["src"] for e in dom.select(dom.parse(self.texts[0]), "source[src]")]
+        yield [u for t in self.texts for u in (_CSS.findall(t) or [m.group() for m in _TEXT[kind].finditer(t)] or [t])]
+
+
+def _string(v: Any) -> str:
+    return v if isinstance(v, str) else ""
+
+
+def _count(v: Any) -> int:
+    if isinstance(v, str) and re.fullmatch(r"\+?\d+", v):
+        return int(v)
+    return v if type(v) is int and v > 0 else 0
+
+
+def _mentions(value: Any) -> Iterator[Mention]:
+    """All strings and objects of a value, lists opened, in order."""
+    open_ = [value]
+    while open_:
+        v = open_.pop()
+        if isinstance(v, list):
+            open_.extend(reversed(v))
+        elif isinstance(v, (str, dict)):
+            yield Mention.of(v)
+
+
+def _resolved(address: str, kind: str, base: urls.Url) -> tuple[str, str] | None:
+    """Absolute URL without fragment, and extension; none where it is no web address or of another kind."""
+    try:
+        url = replace(urls.parse(address, base), fragment=None)
+    except urls.UrlError:
+        return None
+    extension = m.group(1).lower() if (m := re.search(r"\.([^./]*)$", url.path)) else ""
+    fits = url.host and url.scheme in ("http", "https") and (not extension or extension in _EXTENSIONS[kind])
+    return (str(url), extension) if fits else None
+
+
 def normalize(value: Any, kind: str, base: str) -> Any:
-    """Media objects of a value, the first of each URL; text fields stay as they are."""
+    """The media objects of a value, the first of each URL; text fields stay as they are.
+
+    An object's addresses come from the first of its attributes that has any; without
+    one from ``source`` elements (not for images), else from its texts: CSS ``url()``,
+    web addresses with a fitting extension, or the text itself.
+    """
     if kind == "text":
         return value
-    found = {}
-    for m in _media(value, kind, base):
-        found.setdefault(m["url"], m)
-    return list(found.values())
-
-
-def _media(value: Any, kind: str, base: str) -> list[dict]:
-    if isinstance(value, list):
-        return [m for v in value for m in _media(v, kind, base)]
-    if isinstance(value, str):
-        return _objects(_in_text(value, kind), {}, kind, base)
-    if not isinstance(value, dict):
-        return []
-    attrs = value["attrs"] if isinstance(value.get("attrs"), dict) else None
-    source = value if attrs is None else attrs
-    meta = _about(value, source)
-    found = _in_attributes(source, kind)
-    if found:
-        return _objects(found, meta, kind, base)
-    if kind != "image" and isinstance(value.get("html"), str):
-        inner = [e.attrs["src"] for e in dom.select(dom.parse(value["html"]), "source[src]")]
-        if made := _objects(inner, meta, kind, base):
-            return made
-    texts = [value[k] for k in ("html", "text") if isinstance(value.get(k), str)]
-    return _objects([u for t in texts for u in _in_text(t, kind)], meta, kind, base)
-
-
-def _in_attributes(source: dict, kind: str) -> list[str]:
-    for name in _ATTRIBUTES[kind]:
-        v = source.get(name)
-        if not isinstance(v, str):
-            continue
-        if name == "srcset":
-            return [p.split()[0] for p in v.split(",") if p.split()]
-        if v.strip():
-            return [v]
-    return []
-
-
-def _in_text(text: str, kind: str) -> list[str]:
-    found = _CSS.findall(text) or [m[0] for m in _TEXT[kind].finditer(text)]
-    return found or ([text.strip()] if text.strip() else [])
-
-
-def _about(value: dict, source: dict) -> dict:
-    def number(name: str) -> int:
-        v = source.get(name, value.get(name))
-        if isinstance(v, str) and re.fullmatch(r"[+-]?\d+", v):
-            v = int(v)
-        return v if isinstance(v, int) and not isinstance(v, bool) and v >= 0 else 0
-
-    text = lambda v: v if isinstance(v, str) else ""
-    alt = source.get("alt", source.get("title", value.get("alt")))
-    return {"name": text(value.get("name")), "width": number("width"), "height": number("height"), "size": number("size"), "alt": text(alt)}
-
-
-def _objects(found: list[str], meta: dict, kind: str, base: str) -> list[dict]:
-    out = []
-    for src in map(str.strip, found):
-        try:
-            url = replace(urls.parse(src, urls.parse(base)), fragment=None)
-        except urls.UrlError:
-            continue
-        if url.scheme not in ("http", "https") or not url.host:
-            continue
-        _, dot, ext = url.path.rpartition("/")[2].rpartition(".")
-        ext = ext.lower() if dot else ""
-        if ext and ext not in _EXTENSIONS[kind]:
-            continue
-        out.append({"name": meta.get("name", ""), "url": str(url), "src": src, "width": meta.get("width", 0), "height": meta.get("height", 0), "size": meta.get("size", 0), "ext": ext, "alt": meta.get("alt", "")})
-    return out
+    out: dict[str, dict] = {}
+    for mention in _mentions(value):
+        for offer in mention.offers(kind):
+            found = [(a.strip(), r) for a in offer if a.strip() and (r := _resolved(a.strip(), kind, urls.parse(base)))]
+            for source, (url, extension) in found:
+                blank = {"name": "", "width": 0, "height": 0, "size": 0, "alt": ""}
+                out.setdefault(url, {k: {**blank, **mention.facts, "url": url, "src": source, "ext": extension}[k] for k in FIELDS})
+            if found:
+                break
+    return list(out.values())

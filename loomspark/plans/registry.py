@@ -750,7 +750,7 @@ def charset_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", readers.decoded(raw, F.lit("text/html; charset=utf-8")).alias("text"))
 
 
-@query()
+@query("""SELECT page_id, regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) AS found FROM pages""")
 def css_healing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A selector whose class has changed still finds the advert's text."""
     from ..functions import dom
@@ -759,17 +759,18 @@ def css_healing(spark: SparkSession, sf_dir: str) -> DataFrame:
     def healed(html: pd.Series) -> pd.Series:
         return html.map(lambda h: [e.text() for e in healing.find(dom.parse(h or ""), "body > div.ads", True, 0.7)])
 
-    return table(spark, sf_dir, "pages").select("page_id", healed("html").alias("found"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(healed("html"), "|").alias("found"))
 
 
-@query()
+@query("""SELECT page_id, o || '/a.PNG?x=1 ' || o || regexp_extract(url, '^https?://[^/?#]+([^?#]*/)', 1) || 'b.jpg' AS urls, 'png jpg' AS exts
+    FROM (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o FROM pages)""")
 def media_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image objects of made-up markup around each page's URL."""
     @F.pandas_udf("array<struct<name:string,url:string,src:string,width:long,height:long,size:long,ext:string,alt:string>>")
     def images(url: pd.Series) -> pd.Series:
         return url.map(lambda u: media.normalize([{"attrs": {"src": "/a.PNG?x=1#f", "width": "20"}}, "url('b.jpg')", "c.txt"], "image", u))
 
-    return table(spark, sf_dir, "pages").select("page_id", images("url").alias("media"))
+    return table(spark, sf_dir, "pages").select("page_id", images("url").alias("m")).select("page_id", F.array_join("m.url", " ").alias("urls"), F.array_join("m.ext", " ").alias("exts"))
 
 
 @query("SELECT event_id, ((epoch_us(ts) // 1000) // 900000 + 1) * 900000 AS next_ms FROM events")

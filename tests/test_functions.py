@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -106,6 +108,7 @@ def test_healing():
     assert healing.find(root, "div.product-cart > span.price-new") == []
     assert [e.text() for e in healing.heal(root, "span.price-nov", 0.8)] == ["1", "2"]
     assert healing.heal(root, "table#zzz", 0.8) == []
+    assert [e.text() for e in healing.heal(root, "*.price-nov", 0.85)] == ["1", "2"]
 
 
 @given(st.text("abc", max_size=8), st.text("abc", max_size=8))
@@ -135,6 +138,20 @@ def test_cron():
             cron.next_time(bad, 0)
 
 
+def test_healing_is_linear_in_siblings():
+    root = dom.parse("<div>" + "<p class=a>x</p>" * 6000 + "</div>")
+    began = time.process_time()
+    assert len(healing.heal(root, "p.ab ~ p.ab", 0.7)) == 5999
+    assert time.process_time() - began < 6
+
+
+def test_media_order_and_facts():
+    base = "http://e.com/d/p"
+    got = media.normalize([[{"src": "", "poster": "p.png", "alt": 3, "title": "T", "height": "+7", "width": "-2"}], {"attrs": {"data-src": "q.exe"}, "text": "r.png"}], "image", base)
+    assert [(m["url"], m["alt"], m["height"], m["width"]) for m in got] == [("http://e.com/d/p.png", "", 7, 0)]
+    assert [m["url"] for m in media.normalize({"html": "see <a>https://x.org/a.mp3?k</a>", "attrs": {}}, "audio", base)] == ["https://x.org/a.mp3?k"]
+
+
 def test_media():
     base = "https://e.com/d/"
     one = media.normalize({"html": "<img>", "attrs": {"srcset": "a.jpg 1x, b.jpg 2x", "alt": "A", "width": "12"}}, "image", base)
