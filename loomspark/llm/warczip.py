@@ -297,9 +297,11 @@ def planned(pages: DataFrame, revisit_from: int = REVISIT_FROM, salts: int = SAL
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
     large = F.octet_length("html") >= revisit_from
     groups = base.filter(large & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("first"), F.min("page_id").alias("least")).filter("least < first")
+    # small payloads look nothing up; a key of their own deals them evenly
+    key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
     spread = groups.select(F.col("digest").alias("_d"), "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
     base = base.withColumn("salt", F.when(large, F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).otherwise(F.lit(-1)))
-    joined = base.join(spread, (F.col("digest") == F.col("_d")) & (F.col("salt") == F.col("_s")), "left")
+    joined = base.withColumn("_key", key).join(spread, (F.col("_key") == F.col("_d")) & (F.col("salt") == F.col("_s")), "left")
     return joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") < F.col("first"), F.col("first")).alias("refers_to"))
 
 
