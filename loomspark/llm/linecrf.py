@@ -136,7 +136,10 @@ def _teach(text: str, quality: int, seed_crf: LineCRF) -> tuple[np.ndarray, np.n
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL) -> LineCRF:
-    """Trains on at most ``per_label`` labelled documents of either quality (a bounded, broadcast list of ids)."""
+    """Trains on at most ``per_label`` labelled documents of either quality (a bounded, broadcast list of ids).
+
+    Of several documents with one id the least text is learned from.
+    """
     clean = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)")
     clean = clean.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most").drop("most")
     pick = None
@@ -155,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
             )
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id")
+    text = text.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = text.select("doc_id", "text", "quality").mapInArrow(teach, "doc_id long, x binary, y binary").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     made = [(np.frombuffer(r["x"], dtype=np.float32).astype(np.float64).reshape(-1, len(FEATURES)), np.frombuffer(r["y"], dtype=np.int8).astype(np.int64)) for r in rows]
     return crf.fit(made) if made else crf
