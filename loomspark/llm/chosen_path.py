@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .session import written
+from .session import Scratch, discard, written
 from .textvec import FOLDED, bytes_of, glued, mix, word_hashes
 
 #: Words in a shingle; shorter texts are one shingle of all their words.
@@ -150,7 +150,7 @@ def _children(depth: int) -> F.Column:
     return F.when(F.pmod(F.xxhash64("path", F.lit(3)), F.lit(4)) == 0, F.array(child(one), child(two))).otherwise(F.array(child(one)))
 
 
-def leaves(classes: DataFrame, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+def leaves(classes: DataFrame, small: int = SMALL, depth: int = DEPTH, scratch: Scratch | None = None) -> DataFrame:
     """``(path, size, set_id, sketch)``: each set once per leaf that it shares with another set.
 
     A node is a leaf if it is small, as deep as allowed, or dense: its sets are so
@@ -159,6 +159,7 @@ def leaves(classes: DataFrame, small: int = SMALL, depth: int = DEPTH) -> DataFr
     sizes, which leaves a heavy node to Spark's splitting of skewed joins, and
     take up their sketches again only where another set shares the node.
     """
+    scratch = scratch or Scratch()
     full = classes.filter("n_set > 0")
     sketch = full.select("set_id", "sketch")
     bits = F.shiftleft(F.lit(0), 0)
@@ -172,8 +173,8 @@ def leaves(classes: DataFrame, small: int = SMALL, depth: int = DEPTH) -> DataFr
         sizes = nodes.groupBy("path").agg(F.count("*").alias("size"), *ones).filter("size > 1")
         dense = sum(share[1:], share[0]) / F.lit(float(len(_BITS))) >= DENSE
         stop = (F.col("size") <= small) | dense if level < depth - 1 else F.lit(True)
-        sizes = written(sizes.select("path", "size", stop.alias("stop")), "nodes")
-        nodes = written(nodes.hint("merge").join(sizes, "path").select("path", "size", "stop", "set_id", "bits"), "split")
+        sizes = scratch.written(sizes.select("path", "size", stop.alias("stop")), "nodes")
+        nodes = scratch.written(nodes.hint("merge").join(sizes, "path").select("path", "size", "stop", "set_id", "bits"), "split")
         done = nodes.filter("stop").select("path", "size", "set_id")
         out = done if out is None else out.unionByName(done)
         if level < depth - 1:
@@ -295,14 +296,15 @@ def _leaf_links(emit_leaders: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
 _LINK = "a binary, b binary, leads boolean, path long"
 
 
-def candidates(classes: DataFrame, leaf: DataFrame, group: int = GROUP) -> DataFrame:
+def candidates(classes: DataFrame, leaf: DataFrame, group: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
     """Links ``(a, b)`` that connect all sets which may be similar; their number is linear in the leaves."""
+    scratch = scratch or Scratch()
     salted = leaf.withColumn("salt", F.when(F.col("size") > group, F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / group))).otherwise(F.lit(0)))
     columns = ["path", "salt", "set_id", "sketch"]
     narrow = salted.filter(F.col("size") <= group).select(columns)
     found = narrow.repartition("path", "salt").sortWithinPartitions("path", "salt", "set_id").mapInArrow(_leaf_links(False), _LINK)
     wide = salted.filter(F.col("size") > group).select(columns)
-    first = written(wide.repartition("path", "salt").sortWithinPartitions("path", "salt", "set_id").mapInArrow(_leaf_links(True), _LINK), "leaders")
+    first = scratch.written(wide.repartition("path", "salt").sortWithinPartitions("path", "salt", "set_id").mapInArrow(_leaf_links(True), _LINK), "leaders")
     leaders = first.filter("leads").select("path", F.lit(0).cast("long").alias("salt"), F.col("a").alias("set_id")).join(classes.select("set_id", "sketch"), "set_id")
     meet = leaders.select(columns).repartition("path", "salt").sortWithinPartitions("path", "salt", "set_id").mapInArrow(_meet, _LINK)
     every = found.unionByName(first.filter("NOT leads")).unionByName(meet)
@@ -400,18 +402,19 @@ def _verify(threshold: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: Fraction = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
     """``(set_id, links, other)``: exact links of each set inside its group, counted in copies.
 
     A group is dealt into blocks; every pair of blocks is one bounded unit of work.
     """
+    scratch = scratch or Scratch()
     member = groups.join(classes.select("set_id", "rep", "n_set", "copies"), F.col("node") == F.col("set_id"))
     weight = member.groupBy("label").agg(F.count("*").alias("m"), F.sum("n_set").alias("w"))
-    blocks = written(weight.select("label", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("nb")), "blocks")
+    blocks = scratch.written(weight.select("label", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("nb")), "blocks")
     member = member.join(blocks, "label").select(
         "rep", "set_id", "copies", F.col("label").alias("grp"), "nb", F.pmod(F.xxhash64("set_id"), F.col("nb")).cast("int").alias("block")
     )
-    member = written(member, "members")
+    member = scratch.written(member, "members")
     text = member.hint("merge").join(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep")
     pairs = text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     pairs = pairs.select("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "set_id", "block", "copies", "text")
@@ -432,17 +435,22 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFra
     live = each.filter("n_set > 0 AND doc_id IS NOT NULL")
     counts = written(live.groupBy("set_id", "n_set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     # the sketch is the same for all copies, so it comes with the first one
-    classes = written(
-        counts.join(live.select(F.col("doc_id").alias("rep"), "set_id", "sketch"), ["rep", "set_id"]).dropDuplicates(["rep", "set_id"]), "classes"
-    ).select("set_id", "n_set", "rep", "copies", "sketch")
-    links = written(candidates(classes, leaves(classes)), "links")
-    sums = written(verified(source, classes, components(links), threshold), "verified")
+    sketched = written(counts.join(live.select(F.col("doc_id").alias("rep"), "set_id", "sketch"), ["rep", "set_id"]).dropDuplicates(["rep", "set_id"]), "classes")
+    classes = sketched.select("set_id", "n_set", "rep", "copies", "sketch")
+    scratch = Scratch()
+    links = written(candidates(classes, leaves(classes, scratch=scratch), scratch=scratch), "links")
+    scratch.discard()
+    groups = components(links)
+    sums = written(verified(source, classes, groups, threshold, scratch), "verified")
+    scratch.discard()
+    discard(links, groups)
     label = components(sums.select(F.col("set_id").alias("a"), F.col("other").alias("b")))
     linked = sums.groupBy("set_id").agg(F.sum("links").alias("links"))
     named = classes.join(label, F.col("set_id") == F.col("node")).select("set_id", "rep", "label")
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
     known = named.join(least, "label").join(linked, "set_id").select("set_id", "class_id", "links")
     table = written(counts.join(known, "set_id", "left").select("set_id", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
+    discard(counts, sketched, sums, label)
     joined = live.select("doc_id", "set_id").join(table, "set_id").select("doc_id", "class_id", "n_links")
     alone = each.filter("n_set = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return joined.unionByName(alone)
