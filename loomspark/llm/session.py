@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+from ..sources.tables import shared_folder
 
-    Only where that is unset (tests, a local session) a folder of this machine is used.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "loomspark-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -49,7 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, *key: str) -> DataFrame:
     """``written``, as a table in as many buckets by ``key`` as the session has shuffle partitions.
 
     Where ``df`` comes out of an exchange by ``key`` every bucket is one file, and
@@ -59,7 +47,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     path = fresh_path(spark, name)
     table = f"loomspark_{name}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
+    df.write.bucketBy(buckets, *key).option("path", path).format("parquet").saveAsTable(table)
     out = spark.read.table(table)
     out.shared_path, out.shared_name = path, table
     return out
@@ -81,5 +69,20 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables that are deleted together once their readers are done."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(written(df, name))
+        return self.tables[-1]
+
+    def discard(self) -> None:
+        discard(*self.tables)
+        self.tables = []
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -223,7 +223,7 @@ def test_line_dedup(spark, make):
 def sims_of(spark, texts):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     lines = linededup.distinct_lines(rows)
-    got = lines.join(linededup.simhashes(lines), "id").collect()
+    got = lines.join(linededup.simhashes(lines), linededup.ID).collect()
     return [x.sim & (1 << 64) - 1 for x in sorted(got, key=lambda x: x.first.doc.doc_id)]
 
 
