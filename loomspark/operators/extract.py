@@ -26,11 +26,11 @@ _OUT = (
 RESPONSE = ("request_id", "task_id", "trace_id", "node", "url", "status", "body", "vals")
 
 
-def run_node(responses: DataFrame, config: Config, node: str, ai: AiProvider | None = None) -> DataFrame:
-    """What a node emits for each response; ``error`` says which rule a row breaks (such a row emits nothing)."""
+def run_nodes(responses: DataFrame, config: Config, nodes: list[str], ai: AiProvider | None = None) -> DataFrame:
+    """What nodes emit for their responses, in one pass; ``error`` says which rule a row breaks (such a row emits nothing)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        program = NodeProgram(config, node, ai)
+        programs = {n: NodeProgram(config, n, ai) for n in nodes}
         types = pa.schema(
             [("error", pa.string()),
              ("requests", pa.list_(pa.struct([("edge", pa.int32()), ("idx", pa.int32()), ("node", pa.string()), ("url", pa.string()), ("vals", pa.string()), ("priority", pa.int32()), ("transport", pa.string())]))),
@@ -42,7 +42,7 @@ def run_node(responses: DataFrame, config: Config, node: str, ai: AiProvider | N
                 for rid, _, _, name, url, status, body, vals in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     try:
                         request = {"id": rid, "node": name, "url": url, "vals": json.loads(vals or "{}")}
-                        requests, items = program.run(request, url, status, body or "")
+                        requests, items = programs[name].run(request, url, status, body or "")
                         for r in requests:
                             r["vals"], r["transport"] = values.dumps(r["vals"]), values.dumps(r["transport"])
                         for i in items:
@@ -53,19 +53,19 @@ def run_node(responses: DataFrame, config: Config, node: str, ai: AiProvider | N
                 cols = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], *cols], names=["request_id", "task_id", "trace_id", "node", "error", "requests", "items"])
 
-    picked = responses.filter(F.col("node") == node).select(
+    picked = responses.filter(F.col("node").isin(*nodes)).select(
         *[F.col(c).cast("string").alias(c) for c in RESPONSE[:5]], F.col("status").cast("int").alias("status"), "body", F.col("vals").cast("string").alias("vals")
     )
     return picked.mapInArrow(run, _OUT)
 
 
+def run_node(responses: DataFrame, config: Config, node: str, ai: AiProvider | None = None) -> DataFrame:
+    return run_nodes(responses, config, [node], ai)
+
+
 def run_all(responses: DataFrame, config: Config, ai: AiProvider | None = None) -> DataFrame:
-    """All nodes of a configuration over the responses that are theirs."""
-    out = None
-    for node in config.nodes:
-        one = run_node(responses, config, node, ai)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All nodes of a configuration over the responses that are theirs, which are read once."""
+    return run_nodes(responses, config, list(config.nodes), ai)
 
 
 def emitted_requests(emitted: DataFrame) -> DataFrame:

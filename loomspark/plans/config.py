@@ -215,6 +215,7 @@ def _field(where: str, raw: Any) -> Field:
         except (dom.SelectorError, re.error, jsonpath.PathError) as e2:
             raise ConfigError(f"{where}: {e2}") from e2
         out.append(Extractor(kind, expr))
+    _need(out or not raw.get("required"), f"{where}: a required field needs an extractor")
     return Field(raw.get("kind", "text"), bool(raw.get("download")), bool(raw.get("required")), raw.get("default"), tuple(out))
 
 
@@ -265,7 +266,7 @@ def _bind(where: str, raw: Any, fields: dict, earlier: list[str]) -> Bind:
         names = raw.get("vars") or {}
         try:
             for named, part in values.template_parts(text):
-                _need(not named or part in names or part in fields or part in earlier, f"{where}: undefined variable {part}")
+                _need(not named or part in names, f"{where}: undefined variable {part}")
         except values.RuleError as e:
             raise ConfigError(f"{where}: {e}") from e
         return Bind("template", text, (), {k: _ref(v, where, fields, earlier) for k, v in names.items()})

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import conditions, cron, healing, jsonpath, media, urls, values
-from ..operators import extract, frontier, stateful, validate
+from ..operators import extract, frontier, session_state, stateful, validate
 from ..sources import readers, sinks
 from .config import Config
 
@@ -61,7 +61,7 @@ graph:
         marks: {default: [], extractors: [{kind: regex, expr: "track[(]([0-9]+)[)]"}]}
       binds:
         key: {kind: pipeline, from: $fields.title, transforms: [{kind: trim}, {kind: normalize_space}, {kind: lowercase}]}
-        label: {kind: template, template: "{lang}-{n}", vars: {n: {from: $response.status}}}
+        label: {kind: template, template: "{lang}-{n}", vars: {lang: {from: $fields.lang}, n: {from: $response.status}}}
   edges:
     - from: page
       kind: request
@@ -594,6 +594,50 @@ def _first_item(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, items.join(kept.select("id"), "id", "left_anti").select(*items.columns)
 
 
+_JAR = """(SELECT n_name AS name, CAST(n_nationkey AS VARCHAR) AS value, n_nationkey AS created, CASE n_nationkey % 3 WHEN 0 THEN 'example.com' WHEN 1 THEN 'example.net' ELSE 'therin.example.net' END AS domain,
+    n_nationkey % 7 = 6 AS host_only, CASE n_nationkey % 4 WHEN 0 THEN '/' WHEN 1 THEN '/en' WHEN 2 THEN '/fr/' ELSE '/e' END AS path, n_nationkey % 2 = 1 AS secure, CASE WHEN n_regionkey = 1 THEN 5 END AS expires FROM nation)"""
+
+
+@query(f"""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+    m AS (SELECT page_id, string_agg(j.name || '=' || j.value, '; ' ORDER BY length(j.path) DESC, created, j.name) AS cookie FROM p JOIN {_JAR} j
+        ON (host = domain OR (NOT host_only AND host LIKE '%.' || domain)) AND (NOT secure OR url LIKE 'https:%') AND expires IS NULL
+        AND (p.path = j.path OR (starts_with(p.path, j.path) AND (j.path LIKE '%/' OR substr(p.path, length(j.path) + 1, 1) = '/'))) GROUP BY page_id)
+    SELECT p.page_id, m.cookie FROM p LEFT JOIN m USING (page_id)""")
+def cookie_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the cookies that a jar has for each page."""
+    k = F.col("n_nationkey")
+    jar = table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("name"), k.cast("string").alias("value"), k.alias("created"), F.when(k % 3 == 0, "example.com").when(k % 3 == 1, "example.net").otherwise("therin.example.net").alias("domain"),
+        (k % 7 == 6).alias("host_only"), F.when(k % 4 == 0, "/").when(k % 4 == 1, "/en").when(k % 4 == 2, "/fr/").otherwise("/e").alias("path"), (k % 2 == 1).alias("secure"), F.when(F.col("n_regionkey") == 1, F.lit(5).cast("long")).alias("expires"),
+    )
+    return session_state.cookie_headers(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url"), jar, 10).select(F.col("id").alias("page_id"), "cookie")
+
+
+@query("""SELECT a.page_id, CASE WHEN regexp_extract(a.url, '^https?://[^/?#]+', 0) = regexp_extract(b.url, '^https?://[^/?#]+', 0) THEN a.url END AS headers FROM pages a JOIN pages b ON b.page_id = a.page_id // 2""")
+def follow_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """headers go on to requests of the same origin only."""
+    pages = table(spark, sf_dir, "pages")
+    other = pages.select(F.col("page_id").alias("o"), F.col("url").alias("next"))
+    both = pages.join(other, F.floor(F.col("page_id") / 2) == F.col("o"))
+    return both.select("page_id", session_state.followed(F.col("url"), F.col("next"), F.col("url")).alias("headers"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT o_orderkey AS k, o_orderkey // 7 AS n, CASE o_orderkey % 5 WHEN 0 THEN 301 WHEN 1 THEN 302 WHEN 2 THEN 307 ELSE 200 END AS status FROM orders WHERE o_orderkey % 6 <> 5),
+    w AS (SELECT o_orderkey AS id, o_orderkey AS k, 0 AS hops, 'POST' AS method FROM orders
+        UNION ALL SELECT w.id, c.n, hops + 1, CASE WHEN c.status = 307 THEN method ELSE 'GET' END FROM w JOIN c ON w.k = c.k WHERE c.status <> 200 AND c.n % 9 <> 4 AND hops < 10)
+    SELECT w.id, w.k, w.method, w.hops, coalesce(c.status, 404) AS status, CASE WHEN c.status <> 200 THEN 1 ELSE 0 END AS refused FROM w LEFT JOIN c ON w.k = c.k WHERE c.status IS NULL OR c.status = 200 OR c.n % 9 = 4 OR hops = 10""")
+def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redirects are followed to their ends, each hop inside the allowed domains."""
+    k = F.col("o_orderkey")
+    page = lambda c: F.concat(F.when(c % 9 == 4, "http://other.org/").otherwise("http://s.example.com/"), c.cast("string"))
+    status = F.when(k % 5 == 0, 301).when(k % 5 == 1, 302).when(k % 5 == 2, 307).otherwise(200)
+    orders = table(spark, sf_dir, "orders")
+    captured = orders.filter(k % 6 != 5).select(F.concat(F.lit("http://s.example.com/"), k).alias("url"), status.alias("status"), page(F.floor(k / 7)).alias("location"), F.lit("b").alias("body"))
+    start = orders.select(k.alias("id"), F.concat(F.lit("http://s.example.com/"), k).alias("url"), F.lit("POST").alias("method"))
+    out = session_state.follow_redirects(start, captured, ["example.com"])
+    return out.select("id", F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("k"), "method", "hops", "status", F.col("error").isNotNull().cast("int").alias("refused"))
+
+
 @query(_RUN_SQL)
 def engine_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of a whole run: admission, retries, status, handlers, item middleware."""

@@ -66,3 +66,9 @@ def test_conditions_and_binds():
     assert items[0]["data"] == {"title": " A  b ", "key": "a b", "lang": "en", "label": "en-200", "url": "http://h.c/"}
     assert [(r["url"], r["priority"]) for r in requests] == [("http://h.c/x", 3)]
     assert p.run({"vals": {}}, "http://h.c/", 200, html.replace("=en", "=fr"))[0] == []
+
+
+@pytest.mark.parametrize("node", ["fields: {t: {required: true}}", "fields: {t: {extractors: [{kind: css, expr: h1}]}}, binds: {b: {kind: template, template: '{t}'}}"])
+def test_static_checks_of_fields_and_templates(node):
+    with pytest.raises(ConfigError):
+        Config.from_yaml("spider: {name: s}\ngraph: {nodes: {page: {" + node + "}}}")
