@@ -46,3 +46,39 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest
     CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
 FROM r
 """
+
+_ALL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+PII_BASE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+c AS (SELECT doc_id, x, regexp_extract_all(x, '[0-9](?:[\x20-]?[0-9])+') AS cards, regexp_extract_all(x, '\+[0-9][\x20().0-9-]+[0-9]') AS phones,
+    regexp_extract_all(x, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS ips, regexp_extract_all(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS emails FROM t),
+d AS (SELECT *, list_filter(list_transform(cards, lambda m: regexp_replace(m, '[^0-9]', '', 'g')), lambda m: length(m) BETWEEN 12 AND 19) AS digits FROM c)
+SELECT doc_id, CAST(len(emails) AS BIGINT) AS n_email,
+    CAST(len(list_filter(ips, lambda m: list_max(list_transform(string_split(m, '.'), lambda p: CAST(p AS DOUBLE))) <= 255)) AS BIGINT) AS n_ip,
+    CAST(len(list_filter(digits, lambda m: list_sum(list_transform(range(1, length(m) + 1), lambda i: CASE WHEN (length(m) - i) % 2 = 0 THEN CAST(m[i:i] AS INTEGER)
+        ELSE (CAST(m[i:i] AS INTEGER) * 2) // 10 + (CAST(m[i:i] AS INTEGER) * 2) % 10 END)) % 10 = 0)) AS BIGINT) AS n_card,
+    CAST(len(list_filter(phones, lambda m: length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone
+FROM d
+"""
+
+MIXING_TARGETS = f"""
+WITH d AS (SELECT doc_id, source, len({_ALL_WORDS}) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, 3.0::DOUBLE * source_size AS most FROM s),
+r AS (SELECT *, (SELECT sum(source_size) FROM s) - coalesce(sum(most) OVER before, 0) AS rest, (SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER before, 0) AS open
+    FROM w WINDOW before AS (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(least(most, weight * (SELECT max(rest / open) FROM r)), 4) AS target
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+"""
+
+QUALITY_BASE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, {_ALL_WORDS} AS w FROM documents),
+three AS (SELECT r, i, w[i:i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM three) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS BIGINT) AS word_chars,
+    CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(x, chr(10)), lambda v: regexp_matches(v, '[^\x20\x09-\x0D]')) AS lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN covered USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
+"""
