@@ -15,8 +15,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -257,7 +259,7 @@ class Judge:
             self.limits.append(max(0.9, float(score[last[-1]])) if len(last) else 1.1)
 
     def select(self, texts: list[str], spans: list[list[Span]]) -> list[list[Span]]:
-        """Of each text's candidates those at or over their threshold, best first, without overlaps."""
+        """Of each text's candidates those at or over their threshold, the best where they overlap, in order."""
         flat = [(k, s) for k, own in enumerate(spans) for s in own]
         out: list[list[Span]] = [[] for _ in texts]
         if not flat:
@@ -265,8 +267,11 @@ class Judge:
         p = self.scale(self.trees.logits(np.array([features(texts[k], s) for k, s in flat])))
         for i in sorted(range(len(flat)), key=lambda i: (-p[i], flat[i])):
             k, s = flat[i]
-            if p[i] >= self.limits[s[2]] and all(s[1] <= o[0] or o[1] <= s[0] for o in out[k]):
-                out[k].append(s)
+            if p[i] >= self.limits[s[2]]:
+                # what is chosen does not overlap, so only the neighbours in order of start matter
+                at = bisect_left(out[k], s)
+                if (at == 0 or out[k][at - 1][1] <= s[0]) and (at == len(out[k]) or s[1] <= out[k][at][0]):
+                    out[k].insert(at, s)
         return out
 
 
@@ -275,12 +280,24 @@ def judge() -> Judge:
     return Judge()
 
 
+def _clear_of(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """The spans that overlap none of ``taken``."""
+    order = sorted(taken)
+    starts, reach = [x[0] for x in order], list(accumulate((x[1] for x in order), max))
+
+    def clear(s: Span) -> bool:
+        before = bisect_left(starts, s[1])
+        return before == 0 or reach[before - 1] <= s[0]
+
+    return [s for s in spans if clear(s)]
+
+
 def find(texts: list[str], by: Judge) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and added spans of each text; what overlaps a base span is not added."""
     base = [base_spans(t) for t in texts]
     free = []
     for t, own in zip(texts, base, strict=True):
-        free.append([c for c in candidates(t) if all(c[1] <= b[0] or b[1] <= c[0] for b in own)])
+        free.append(_clear_of(candidates(t), own))
     return list(zip(base, by.select(texts, free), strict=True))
 
 
@@ -295,6 +312,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: counts and digest of the base spans, and all spans.
 
     Null texts are empty; repeated rows get a row each; other columns are not read.
+    Texts are read whole, however long, and one text by one task; its spans are found
+    in time that grows with their number times its logarithm.
     """
     held = docs.sparkSession.sparkContext.broadcast(judge())
 
