@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 PERMANENT, DISABLED = -1, 0
 
 
@@ -58,11 +60,27 @@ def ttl_dedup(rows: DataFrame, keys: list[str], time_ms: str, order: list[str],
 
 
 def rate_limit(rows: DataFrame, group: list[str], arrival_ms: str, order: list[str], interval_ms: int) -> DataFrame:
-    """L1: ``slot`` = max(arrival, previous slot + interval) per group, in closed form."""
-    w = Window.partitionBy(*group).orderBy(arrival_ms, *order)
-    rn = F.row_number().over(w)
-    running = F.max(F.col(arrival_ms) - F.col("_rn") * interval_ms).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_rn", rn).withColumn("slot", running + F.col("_rn") * interval_ms).drop("_rn")
+    """L1: ``slot`` = max(arrival, previous slot + interval) per group, in closed form.
+
+    A slot is the greatest (arrival - place * interval) so far, plus place * interval.
+    Rows are range-partitioned by group and time; each part takes its own places and
+    maxima, and the parts of a group meet by one row each, so a group of any
+    size is spread over tasks.
+    """
+    part = written(rows.repartitionByRange(*group, arrival_ms, *order).withColumn("_part", F.spark_partition_id()), "paced")
+    w = Window.partitionBy("_part", *group).orderBy(arrival_ms, *order)
+    own = part.withColumn("_rn", F.row_number().over(w).cast("long"))
+    own = own.withColumn("_run", F.max(F.col(arrival_ms) - F.col("_rn") * interval_ms).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = own.groupBy("_part", *group).agg(F.max("_rn").alias("_n"), F.max("_run").alias("_most"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")))
+    parts = parts.withColumn("_reached", F.max(F.col("_most") - F.col("_before") * interval_ms).over(before))
+    parts = parts.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], "_before", "_reached")
+    same = F.col("_part") == F.col("_p")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    slot = F.greatest(F.col("_reached"), F.col("_run") - F.col("_before") * interval_ms) + (F.col("_before") + F.col("_rn")) * interval_ms
+    return own.join(parts, same).select(*rows.columns, slot.alias("slot"))
 
 
 def rate_conflicts(rows: DataFrame, group: list[str], qps: str) -> DataFrame:

@@ -88,6 +88,21 @@ def test_ttl_dedup_is_anchored(spark):
     assert stateful.retry_schedules([([1, 2], 3), ([9], 1)]) == [1, 2, 2, 9]
 
 
+def test_rate_limit_over_many_parts(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(400).select(F.when(F.col("id") % 50 == 0, None).otherwise("k").alias("g"), (F.col("id") * 37 % 1000).alias("t"), "id")
+        got = stateful.rate_limit(rows, ["g"], "t", ["id"], 7).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    last = {}
+    for r in sorted(got, key=lambda r: (r["t"], r["id"])):
+        want = max(r["t"], last.get(r["g"], -(10**9)) + 7)
+        last[r["g"]] = want
+        assert r["slot"] == want
+    assert len(got) == 400
+
+
 def test_schema_split(spark):
     items = spark.createDataFrame([("1", '{"t":"x","n":3}'), ("2", '{"t":"","n":3}'), ("3", '{"t":"x","n":"no"}'), ("4", '{"t":"x","u":"ftp://x"}')], "id string, data string")
     fields = {"t": {"type": "string", "rules": ["required"]}, "n": {"type": "int", "rules": [{"min": 1}]}, "u": {"type": "string", "rules": ["url"]}}
