@@ -83,14 +83,15 @@ def emitted_items(emitted: DataFrame) -> DataFrame:
     )
 
 
-def fetch(frontier: DataFrame, captured: DataFrame, body_limit: int = 64 << 20) -> DataFrame:
+def fetch(frontier: DataFrame, captured: DataFrame, body_limit: int = 64 << 20, place: str | None = None) -> DataFrame:
     """S1 without a network: requests joined to captured responses ``(url, status, body)`` by canonical URL.
 
-    Of several captures of one URL the least counts. A body over the limit makes an error row instead of a body; what was never captured gets status 404.
+    Of several captures of one URL the least counts: by URL and status, then by the column ``place`` of
+    ``captured`` if one is named, then by body, so that reruns agree; one without a body comes last. A body over the limit makes an error row instead of a body; what was never captured gets status 404.
     """
     key = lambda c: urls.canonical_column(c)
-    seen = captured.select(key(F.col("url")).alias("_key"), F.col("url").alias("final_url"), "status", "body")
-    seen = stateful.first_by(seen, ["_key"], F.struct("final_url", "status"))
+    seen = captured.select(key(F.col("url")).alias("_key"), F.col("url").alias("final_url"), "status", "body", (F.lit(0) if place is None else F.col(place)).alias("_place"))
+    seen = stateful.first_by(seen, ["_key"], F.struct(F.col("body").isNull(), "final_url", "status", "_place", "body")).drop("_place")
     rows = frontier.withColumn("_key", key(F.col("url"))).join(seen, "_key", "left").drop("_key")
     over = F.octet_length("body") > body_limit
     return rows.select(

@@ -22,9 +22,10 @@ def decoded(body: pd.Series, content_type: pd.Series) -> pd.Series:
     return pd.Series([charset.decode(b, c) for b, c in zip(body, content_type, strict=True)], dtype=object)
 
 
-def captured(pages: DataFrame, url: str = "url", body: str = "html", status: Column | None = None) -> DataFrame:
-    """A table of pages as responses."""
-    return pages.select(F.col(url).alias("url"), (F.lit(200) if status is None else status).cast("int").alias("status"), F.col(body).alias("body"))
+def captured(pages: DataFrame, url: str = "url", body: str = "html", status: Column | None = None, place: str | None = None) -> DataFrame:
+    """A table of pages as responses; ``place`` names a column that comes along and orders captures of one URL."""
+    own = [F.col(url).alias("url"), (F.lit(200) if status is None else status).cast("int").alias("status"), F.col(body).alias("body")]
+    return pages.select(*own, *([] if place is None else [F.col(place).alias("place")]))
 
 
 def by_mode(sources: dict[str, DataFrame]) -> DataFrame:
