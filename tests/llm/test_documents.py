@@ -296,6 +296,66 @@ def test_similar_lines_by_edit_distance_alone(spark, make):
     assert out == want and sum(want.values()) > 40
 
 
+def groups_of(texts, similar):
+    """The first line of each line's group."""
+    up = list(range(len(texts)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) - 1e-9 and similar(a, b):
+                one, two = sorted((root(i), root(j)))
+                up[two] = one
+    return [root(k) for k in range(len(texts))]
+
+
+def within(a, b):
+    return lev(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+
+
+def test_short_lines_meet_without_fail(spark, make):
+    r = random.Random(21)
+    texts = []
+    for n in range(5, 33):
+        for _ in range(3):
+            line = "".join(r.choice("abcdefgh ") for _ in range(n)).strip().replace("  ", "xy").ljust(n, "q")
+            texts.append(line)
+            for _ in range(2):
+                edited = list(line)
+                for _ in range(r.randrange(1, n // 5 + 1)):
+                    k = r.randrange(len(edited))
+                    edited[k : k + r.randrange(2)] = r.choice(["z", "", "k"])
+                texts.append("".join(edited).strip().replace("  ", " "))
+    texts = [t for t in dict.fromkeys(texts) if 5 <= len(t) <= linededup.EXACT]
+    want = groups_of(texts, within)
+    out = {x.doc_id: x.n_removed for x in linededup.dedup_lines(make(list(enumerate(texts)))).collect()}
+    assert out == {k: int(want[k] != k) for k in out} and sum(out.values()) > 80
+
+
+def test_all_pairs_of_a_bucket(spark):
+    """Lines that differ from their bucket's representative meet each other, whatever their SimHashes."""
+    texts = ["".join(chr(97 + g) * 60 for g in (k, k + 1, k + 2)) + "x" * (j + 1) for k in range(0, 12, 3) for j in range(3)]
+    lines = linededup.distinct_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    lines = linededup.written(lines, "lines")
+    rows = lines.select(F.lit(1).cast("long").alias("key"), *linededup.ID, F.when(F.col("first.doc.doc_id") % 2 == 0, -1).otherwise(0).cast("long").alias("sim"), F.lit(20).alias("words"), "size")
+    lead = rows.agg(F.min(F.struct(*linededup.ID, "sim", "words", "size")).alias("lead"))
+    shared = linededup.written(rows.crossJoin(lead), "shared")
+    likely = linededup.links(lines, linededup.met([shared]))
+    label = linededup.components(likely)
+    others = linededup.links(lines, linededup.rest(lines, [shared], label))
+    name = {(x.h, x.g): x.first.doc.doc_id for x in lines.collect()}
+    edges = [(name[tuple(x.a)], name[tuple(x.b)]) for x in likely.unionByName(others).collect()]
+    up = list(range(len(texts)))
+    for _ in texts:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    assert up == groups_of(texts, within)
+
+
 # ------------------------------------------------------------------------------ mixing
 
 
