@@ -356,6 +356,15 @@ def test_all_pairs_of_a_bucket(spark):
     assert up == groups_of(texts, within)
 
 
+def test_every_word_edited(spark):
+    r = random.Random(22)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(8)) for _ in range(20)]
+    edited = [w[:3] + "z" + w[4:] for w in words]
+    other = ["".join(r.choice("abcdefghijklm") for _ in range(8)) for _ in range(20)]
+    rows = spark.createDataFrame([(" ".join(words), " ".join(edited), " ".join(other))], "a string, b string, c string")
+    assert tuple(rows.select(linededup.similar(F.col("a"), F.col("b")), linededup.similar(F.col("a"), F.col("c"))).first()) == (True, False)
+
+
 # ------------------------------------------------------------------------------ mixing
 
 
