@@ -545,3 +545,14 @@ def test_line_crf_learns_from_whole_documents():
     x, y = linecrf._teach(text, 1, linecrf.LineCRF())
     assert len(x) == len(y) == 301 and y[-1] == linecrf.BOILERPLATE
     assert np.flatnonzero(x[:, linecrf.FEATURES.index("edge")]).tolist() == [0, 300]
+
+
+def test_unlike_lines_of_frequent_words_make_no_pairs(spark):
+    """Long lines share the frequent words of their language, and lines that quote one phrase share it; neither makes them meet."""
+    r = random.Random(23)
+    phrase = " ".join(lettered(r, 6))
+    texts = [" ".join(r.choice(("the", "of", "and", "to", "in", "a", "is", "that")) if k % 2 else lettered(r, 1)[0] for k in range(120)) + " " + phrase for _ in range(150)]
+    lines = linededup.written(linededup.distinct_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "lines")
+    rows = linededup.buckets(lines)
+    pairs = rows.alias("x").join(rows.alias("y"), "key").filter("x.h < y.h").select("x.h", "y.h").distinct().count()
+    assert pairs < 75
