@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -15,6 +16,7 @@ from loomspark.llm import decontaminate as dc
 from loomspark.llm import linecrf, linededup, mixing, pii, toxicity
 from loomspark.llm.chosen_path import near_duplicates
 from loomspark.llm.components import components
+from loomspark.llm.session import bucketed, discard, written
 
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -556,3 +558,20 @@ def test_unlike_lines_of_frequent_words_make_no_pairs(spark):
     rows = linededup.buckets(lines)
     pairs = rows.alias("x").join(rows.alias("y"), "key").filter("x.h < y.h").select("x.h", "y.h").distinct().count()
     assert pairs < 75
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size())}
+
+    before = files()
+    table = bucketed(spark.range(2000).selectExpr("id % 500 AS h", "id").groupBy("h").agg(F.count("*").alias("n")), "test", "h")
+    until = time.time() + 20
+    while (left := {f for f in files() - before if f.startswith("shuffle_")}) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert table.count() == 500
+    discard(table)
