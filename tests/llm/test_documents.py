@@ -575,3 +575,23 @@ def test_tables_leave_no_shuffle_files(spark):
     assert not left
     assert table.count() == 500
     discard(table)
+
+
+def test_pairs_are_compared_in_rounds(spark, monkeypatch):
+    """However many pairs there are, the texts of a few lie on disk at a time, and all links are found."""
+    texts = [f"{'abcdefgh'[k % 8] * 40}{k:03d}" for k in range(64)]
+    lines = linededup.written(linededup.distinct_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "lines")
+    ends = [lines.select(F.col("h").alias(f"{x}h"), F.col("g").alias(f"{x}g")) for x in "ab"]
+    pairs = linededup.written(ends[0].crossJoin(ends[1]).filter("ah < bh"), "pairs")
+    whole = {(tuple(x.a), tuple(x.b)) for x in linededup.links(lines, pairs).collect()}
+    tables = []
+    monkeypatch.setattr(linededup, "LEAST", 1)
+    monkeypatch.setattr(linededup, "written", lambda df, name: tables.append(name) or written(df, name))
+    found = [(tuple(x.a), tuple(x.b)) for x in linededup.links(lines, pairs, likely=False).collect()]
+    assert len(found) == len(whole) == 8 * 28 and set(found) == whole
+    assert tables.count("leads") == 16
+
+
+def test_blocks_are_narrow(spark):
+    lines = linededup.distinct_lines(spark.createDataFrame([(1, "some words of a line that is long enough for blocks of words")], "doc_id long, text string"))
+    assert linededup.blocks(lines).columns == ["key", "h"]
